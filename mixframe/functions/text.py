@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The blanks that become a space and the characters that vanish.
-WIDE_BLANKS = "   -     　"
-ZERO_WIDTH = "​-‍﻿"
+WIDE_BLANKS = "\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+ZERO_WIDTH = "\\u200b-\\u200d\\ufeff"
 
 # Latin letters and the plain letter each compares as.
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
@@ -20,6 +20,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``, however often that reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def js_int(c) -> Column:
     """Leading integer of a string, NULL when it does not start with a digit."""
     return F.regexp_extract(col(c), r"^\s*(\d+)", 1).try_cast("int")

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["track_queries"]
+MODULES = ["track_queries", "match_queries", "cue_queries"]
 
 
 def _collect(attribute: str) -> dict:
     found: dict = {}
     for name in MODULES:
-        found.update(getattr(import_module(f"{__name__}.{name}"), attribute))
+        found.update(getattr(import_module(f"{__name__}.{name}").query, attribute))
     return found
 
 
 def all_queries() -> dict:
-    return _collect("QUERIES")
+    return _collect("queries")
 
 
 def all_oracles() -> dict:
-    return _collect("ORACLES")
+    return _collect("oracles")

@@ -117,3 +117,46 @@ def with_views(*names: str, then: str) -> str:
     then = then.strip()
     glue = ",\n" if not then.upper().startswith("SELECT") else "\n"
     return "WITH " + ",\n".join(done) + glue + then
+
+
+def v_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Two lists per mix: the original as V1 has it, a candidate that knows other things."""
+    t = v_tracks(spark, folder)
+    track = F.col("type") == "track"
+    none = F.lit(None).cast("string")
+    brand = F.col("label")
+    full = F.concat_ws(" - ", "artist", "title")
+    orig = t.select(
+        F.col("tl_id").alias("pair_id"), "pos", "type", F.when(track, F.col("cue")).alias("cue"),
+        F.when(track, F.col("text")).alias("text"),
+        F.when(track & ~F.col("is_heading"), brand).alias("label"),
+        F.when(track & (brand == "Brand#1"), F.col("dur_s")).alias("dur"))
+    text = (F.when(F.col("is_heading") & (brand == "Brand#5"), "?").when(F.col("text") == "?", full)
+            .when(brand.isin("Brand#1", "Brand#2"), F.upper("text"))
+            .when(brand == "Brand#3", F.concat(F.substring("text", 1, 2), F.substr("text", F.lit(4))))
+            .when(brand == "Brand#4", F.concat(F.lit("Visitor "), F.col("dur_s").cast("string"), F.lit(" - "), "title"))
+            .otherwise(F.col("text")))
+    minute = F.floor(F.col("start_s") / 60).cast("int")
+    cue = F.when(F.col("line_no") == 7, none).when(F.col("line_no") == 3, F.col("cue")).otherwise(pad_left(minute, 2))
+    cand = t.select(
+        F.col("tl_id").alias("pair_id"), "pos", "type", F.when(track, cue).alias("cue"),
+        F.when(track, text).alias("text"), F.when(track, brand).alias("label"),
+        F.when(track, F.col("dur_s")).alias("dur"))
+    return orig, cand
+
+
+VIEWS["v_pairs"] = ("""
+v_orig AS (SELECT tl_id AS pair_id, pos, type, CASE WHEN type = 'track' THEN cue END AS cue,
+  CASE WHEN type = 'track' THEN text END AS text,
+  CASE WHEN type = 'track' AND NOT is_heading THEN label END AS label,
+  CASE WHEN type = 'track' AND label = 'Brand#1' THEN dur_s END AS dur FROM v_tracks),
+v_cand AS (SELECT tl_id AS pair_id, pos, type,
+  CASE WHEN type = 'track' THEN CASE WHEN line_no = 7 THEN NULL WHEN line_no = 3 THEN cue
+    ELSE CASE WHEN start_s // 60 < 10 THEN '0' ELSE '' END || CAST(start_s // 60 AS VARCHAR) END END AS cue,
+  CASE WHEN type = 'track' THEN CASE WHEN is_heading AND label = 'Brand#5' THEN '?'
+    WHEN text = '?' THEN artist || ' - ' || title
+    WHEN label IN ('Brand#1', 'Brand#2') THEN upper(text)
+    WHEN label = 'Brand#3' THEN substr(text, 1, 2) || substr(text, 4)
+    WHEN label = 'Brand#4' THEN 'Visitor ' || CAST(dur_s AS VARCHAR) || ' - ' || title ELSE text END END AS text,
+  CASE WHEN type = 'track' THEN label END AS label, CASE WHEN type = 'track' THEN dur_s END AS dur
+  FROM v_tracks)""", ["v_tracks"])

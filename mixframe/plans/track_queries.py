@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import tracks as T
 from ..sources import tracklists as S
 from . import fixtures as V
+from .registry import Registry
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(sql=None):
-    """Register a query under its function's name, with its SQL twin if there is one."""
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-    return add
+query = Registry()
 
 
 def _views(then):

@@ -17,7 +17,7 @@ from mixframe.session import build_session  # noqa: E402
 def main(sf: str, names: list[str]) -> int:
     folder = f"/root/testdata/sf{sf}"
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(folder), 0
@@ -26,9 +26,11 @@ def main(sf: str, names: list[str]) -> int:
     for name, fn in queries.items():
         if names and name not in names and fn.__module__.split(".")[-1] not in modules:
             continue
-        t = time.time()
+        t, spent = time.time(), 0
         try:
             df = fn(spark, folder)
+            df.write.format('noop').mode('overwrite').save() if '--time' in sys.argv else None
+            spent = time.time() - t
             if name in oracles:
                 ok, message = compare(df, con, oracles[name])
             else:
@@ -37,10 +39,10 @@ def main(sf: str, names: list[str]) -> int:
         except Exception as error:  # noqa: BLE001
             ok, message = False, f"{type(error).__name__}: {str(error)[:700]}"
         bad += not ok
-        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - t:.1f}s {message}", flush=True)
+        print(f"{'ok  ' if ok else 'FAIL'} {name} {spent:.1f}/{time.time() - t:.1f}s {message}", flush=True)
     print("failures:", bad)
     return bad
 
 
 if __name__ == "__main__":
-    sys.exit(min(main(sys.argv[1] if len(sys.argv) > 1 else "0.01", sys.argv[2:]), 1))
+    sys.exit(min(main(sys.argv[1] if len(sys.argv) > 1 else "0.01", [a for a in sys.argv[2:] if a != '--time']), 1))
