@@ -160,3 +160,126 @@ v_cand AS (SELECT tl_id AS pair_id, pos, type,
     WHEN label = 'Brand#4' THEN 'Visitor ' || CAST(dur_s AS VARCHAR) || ' - ' || title ELSE text END END AS text,
   CASE WHEN type = 'track' THEN label END AS label, CASE WHEN type = 'track' THEN dur_s END AS dur
   FROM v_tracks)""", ["v_tracks"])
+
+
+# The views below have one SQL text for Spark and DuckDB.
+def _date_parts(c: str) -> dict:
+    return {"y": f"CAST(year({c}) AS STRING)", "m": f"lpad(CAST(month({c}) AS STRING), 2, '0')",
+            "d": f"lpad(CAST(day({c}) AS STRING), 2, '0')"}
+
+
+_D = _date_parts("o_orderdate")
+_MONTH = ("CASE month(o_orderdate) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April' "
+          "WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' "
+          "WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END")
+
+VIEWS["v_uploads"] = (f"""
+v_uploads AS (SELECT o_orderkey AS upload_id,
+  CASE o_orderkey % 3
+    WHEN 0 THEN 'https://soundcloud.com/acct-' || CAST(o_custkey AS STRING) || '/track-' || CAST(o_orderkey AS STRING)
+    WHEN 1 THEN 'https://www.mixcloud.com/acct-' || CAST(o_custkey AS STRING) || '/track-' || CAST(o_orderkey AS STRING) || '/'
+    ELSE 'https://www.youtube.com/watch?v=' || lpad(CAST(o_orderkey AS STRING), 11, 'x') END AS player_url,
+  c_name AS channel, c_mktsegment AS segment, substr(o_orderpriority, 3) || ' Podcast' AS entity,
+  c_name || ' - ' || substr(o_orderpriority, 3) || ' Podcast ' ||
+    CASE o_orderkey % 5 WHEN 0 THEN '#' || CAST(o_orderkey % 500 AS STRING)
+      WHEN 1 THEN 'Vol. ' || CAST(o_orderkey % 500 AS STRING)
+      WHEN 2 THEN '/ HPX.' || CAST(o_orderkey % 500 AS STRING)
+      WHEN 3 THEN '' ELSE 'Episode ' || CAST(o_orderkey % 500 AS STRING) END || ' | ' ||
+    CASE o_orderkey % 4 WHEN 0 THEN {_D['y']} || '-' || {_D['m']} || '-' || {_D['d']}
+      WHEN 1 THEN {_D['d']} || '.' || {_D['m']} || '.' || {_D['y']}
+      WHEN 2 THEN {_MONTH} || ' ' || CAST(day(o_orderdate) AS STRING) || ', ' || {_D['y']}
+      ELSE {_D['d']} || '/' || {_D['m']} || '/' || substr({_D['y']}, 3, 2) END AS title,
+  CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INT) AS created_at, CAST(o_orderdate AS DATE) AS mix_date,
+  CASE WHEN o_custkey % 13 = 0 THEN NULL WHEN o_custkey % 17 = 0 THEN 0
+    ELSE CAST(floor(o_totalprice / 50) AS INT) END AS duration_s,
+  CASE WHEN o_custkey % 23 = 0 THEN NULL ELSE CAST(o_custkey % 50 AS STRING) || ' likes' END AS likes_text,
+  o_orderkey % 11 = 0 AS is_repost, o_orderkey % 19 = 0 AS is_playlist, o_custkey % 29 = 0 AS is_favorite,
+  o_custkey AS account, o_orderstatus AS status, o_totalprice AS price
+  FROM orders JOIN customer ON o_custkey = c_custkey)""", [])
+
+VIEWS["v_episodes"] = ("""
+v_episodes AS (SELECT o_orderpriority AS source, CAST(o_orderkey % 500 AS INT) AS episode_no, o_orderkey AS entry_no,
+  'https://www.mixcloud.com/acct-' || CAST(o_custkey AS STRING) || '/track-' || CAST(o_orderkey AS STRING) || '/' AS url,
+  CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE CAST(floor(o_totalprice / 50) AS INT) END AS duration_s,
+  o_orderstatus AS status, CAST(o_orderdate AS DATE) AS listed_at FROM orders)""", [])
+
+VIEWS["v_pages"] = (f"""
+v_pages AS (SELECT upload_id AS page_id,
+  CAST(mix_date AS STRING) || ' - ' || channel || ' - ' || entity || ' ' || CAST(upload_id % 500 AS STRING) AS title,
+  CASE WHEN account % 31 = 0 THEN CAST(created_at AS STRING) ELSE CAST(mix_date AS STRING) END AS sortkey,
+  mix_date, entity, channel, segment,
+  CASE segment WHEN 'AUTOMOBILE' THEN 'Techno' WHEN 'BUILDING' THEN 'House' WHEN 'FURNITURE' THEN 'Deep House'
+    WHEN 'HOUSEHOLD' THEN 'Tech House' ELSE 'Ambient' END AS style,
+  segment || ' ' || entity AS series, created_at + 30 AS last_edit, player_url, account, price,
+  '[[File:' || CASE WHEN account % 4 = 0 THEN 'Flyer' ELSE CAST(mix_date AS STRING) || ' - ' || channel || ' - ' || entity || ' ' || CAST(upload_id % 500 AS STRING) END || '.jpg|right|360px]]' AS image_line,
+  CASE WHEN segment IN ('AUTOMOBILE', 'BUILDING') THEN '{{{{StandardShow2h}}}}' ELSE '{{|{{{{NormalTableFormat}}}}' END AS details,
+  CASE WHEN segment = 'HOUSEHOLD' THEN 'mirrors' ELSE 'plain' END AS mode,
+  CASE WHEN segment = 'BUILDING' THEN 'https://groove.example/2026/' || CAST(upload_id AS STRING) || '-episode' ELSE '' END AS notes
+  FROM v_uploads WHERE status = 'F'),
+v_wiki AS (SELECT *, image_line || chr(10) || '== File details ==' || chr(10) || details || chr(10) || '{{{{Player' ||
+  CASE WHEN mode = 'mirrors' THEN '|mode=mirrors' ELSE '' END || chr(10) || ' |' || player_url || chr(10) ||
+  CASE WHEN mode = 'mirrors' THEN ' |https://hearthis.at/' || CAST(page_id AS STRING) || '/' || chr(10) ELSE '' END || '}}}}' || chr(10) ||
+  CASE WHEN notes <> '' THEN '== Notes ==' || chr(10) || notes || chr(10) ELSE '' END ||
+  '<!-- https://soundcloud.com/acct-' || CAST(account + 1 AS STRING) || '/track-' || CAST(page_id + 3 AS STRING) || ' -->' || chr(10) ||
+  '== Tracklist ==' || chr(10) || '# [00] ' || channel || ' - Opening' || chr(10) || chr(10) ||
+  '[[Category:' || CAST(year(mix_date) AS STRING) || ']]' || chr(10) || '[[Category:' || channel || ']]' || chr(10) || '[[Category:' || series || '|' || sortkey || ']]' || chr(10) ||
+  '[[Category:' || style || ']]' || chr(10) || '[[Category:Tracklist: incomplete]]' AS wikitext FROM v_pages)""", ["v_uploads"])
+
+
+def sql_view(spark: SparkSession, folder: str, view: str, cte: str | None = None) -> DataFrame:
+    """Run one of the shared texts on Spark; ``cte`` names the last table of the view."""
+    import re
+    text = with_views(view, then=f"SELECT * FROM {cte or view}")
+    bases = sorted(set(re.findall(r"\b(?:FROM|JOIN) (orders|customer|supplier|nation|region|part|documents|conversations|events|pages|lineitem)\b", text)))
+    text = text.replace("{", "{{").replace("}", "}}")
+    for base in bases:
+        text = re.sub(rf"\b(FROM|JOIN) {base}\b", rf"\1 {{{base}}}", text)
+    return spark.sql(text, **{b: read_table(spark, folder, b) for b in bases})
+
+
+def v_uploads(spark, folder):
+    return sql_view(spark, folder, "v_uploads")
+
+
+def v_episodes(spark, folder):
+    return sql_view(spark, folder, "v_episodes")
+
+
+def v_pages(spark, folder):
+    return sql_view(spark, folder, "v_pages", "v_wiki")
+
+
+VIEWS["v_entities"] = ("""
+v_entities AS (
+  SELECT c_name AS title, 'artist' AS type, CAST(c_custkey % 120 AS INT) AS mixes FROM customer
+  UNION ALL SELECT n_name || ' (Club)', 'venue', CAST(n_nationkey * 3 AS INT) FROM nation
+  UNION ALL SELECT n_name || ' (Festival)', 'event', CAST(n_nationkey AS INT) FROM nation
+  UNION ALL SELECT n_name, CAST(NULL AS STRING), 0 FROM nation
+  UNION ALL SELECT r_name || ' Sound System', 'artist', CAST(r_regionkey AS INT) FROM region
+  UNION ALL SELECT r_name, 'venue', 40 FROM region
+  UNION ALL SELECT r_name || ' Podcast', 'podcast', CAST(100 + r_regionkey AS INT) FROM region
+  UNION ALL SELECT DISTINCT substr(o_orderpriority, 3) || ' Podcast', 'podcast', 7 FROM orders
+  UNION ALL SELECT DISTINCT p_brand, 'recordlabel', 2 FROM part),
+v_aliases AS (
+  SELECT s_name AS alias, c_name AS target FROM supplier JOIN customer ON s_suppkey = c_custkey
+  UNION ALL SELECT 'Stätion ' || CAST(n_nationkey AS STRING), n_name FROM nation
+  UNION ALL SELECT r_name || ' Selectors', r_name || ' Podcast' FROM region),
+v_names AS (SELECT o_custkey AS mix_id, o_orderkey AS pos, CASE o_orderkey % 8
+    WHEN 0 THEN upper(c_name) WHEN 1 THEN lower(n_name) WHEN 2 THEN replace(s_name, 'pp', 'pp-')
+    WHEN 3 THEN r_name WHEN 4 THEN 'Station ' || CAST(n_nationkey AS STRING)
+    WHEN 5 THEN replace(r_name, 'A', 'Á') || ' selectors' WHEN 6 THEN 'Part ' || CAST(o_orderkey % 9 AS STRING)
+    ELSE n_name || ' Loft' END AS name, n_name, r_name, c_name, n_nationkey
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_suppkey = o_custkey % 50)""", [])
+
+
+def v_entities(spark, folder):
+    return sql_view(spark, folder, "v_entities", "v_entities")
+
+
+def v_aliases(spark, folder):
+    return sql_view(spark, folder, "v_entities", "v_aliases")
+
+
+def v_names(spark, folder):
+    return sql_view(spark, folder, "v_entities", "v_names")
