@@ -85,8 +85,8 @@ def filter_lookup_names(spark, sf):
 
 
 @query(_views("""
-f AS (SELECT mix_id, lower(trim(name)) AS k, min(pos) AS at, min_by(name, pos) AS name FROM v_names WHERE name IS NOT NULL GROUP BY 1, 2)
-SELECT mix_id, CAST(row_number() OVER (PARTITION BY mix_id ORDER BY at, k) AS INT) AS pos, name FROM f"""))
+f AS (SELECT mix_id, lower(trim(name)) AS k, min(pos) AS seen, min_by(name, pos) AS name FROM v_names WHERE name IS NOT NULL GROUP BY 1, 2)
+SELECT mix_id, CAST(row_number() OVER (PARTITION BY mix_id ORDER BY seen, k) AS INT) AS pos, name FROM f"""))
 def distinct_ci(spark, sf):
     return E.distinct_ci(_inputs(spark, sf)[0].where("name IS NOT NULL"))
 
@@ -174,8 +174,8 @@ TAG = "CASE p_size % 5 WHEN 0 THEN 'Nu-Disco' WHEN 1 THEN 'House' WHEN 2 THEN 'J
 rn AS ({RENAMES}),
 tg AS (SELECT tl_id AS mix_id, pos, {TAG} AS tag FROM v_tracks JOIN (SELECT p_name, min(p_brand) AS p_brand, min(p_size) AS p_size FROM part GROUP BY 1) x ON title = p_name),
 st AS (SELECT mix_id, pos, coalesce(style_no, 0) AS n, coalesce(style, tg.tag) AS style FROM tg LEFT JOIN rn ON tg.tag = rn.tag),
-f AS (SELECT mix_id, style, min(pos * 10 + n) AS at FROM st GROUP BY 1, 2)
-SELECT mix_id, CAST(row_number() OVER (PARTITION BY mix_id ORDER BY at) AS INT) AS pos, style FROM f""", "v_tracks"))
+f AS (SELECT mix_id, style, min(pos * 10 + n) AS seen FROM st GROUP BY 1, 2)
+SELECT mix_id, CAST(row_number() OVER (PARTITION BY mix_id ORDER BY seen) AS INT) AS pos, style FROM f""", "v_tracks"))
 def map_styles(spark, sf):
     part = V.read_table(spark, sf, "part").groupBy("p_name").agg(F.min("p_brand").alias("p_brand"), F.min("p_size").alias("p_size"))
     t = V.v_tracks(spark, sf).join(part, F.col("title") == F.col("p_name"))
