@@ -194,7 +194,7 @@ FROM nm LEFT JOIN bt ON nm.kind IN ('artist', 'entity') AND {key('category')} =
 def category_plan(spark, sf):
     mixes = _titles(spark, sf).select(F.col("page_id").alias("mix_id"), "title", F.array(F.lit("House")).alias("styles"), F.lit("none").alias("tl_status"))
     typed = V.v_entities(spark, sf).where("title NOT LIKE '%(%'")
-    lookup = E.lookup_table(typed, V.v_aliases(spark, sf).limit(0))
+    lookup = E.lookup_table(typed, V.v_aliases(spark, sf).where("false"))
     return C.category_plan(mixes, lookup)
 
 
