@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, let
 
 # Hosts a submission is accepted from, playlists that are private to a viewer.
 SUBMIT_HOSTS = ["hearthis.at", "mixcloud.com", "soundcloud.com", "youtube.com", "youtu.be"]
@@ -39,23 +39,26 @@ def unwrapped(url) -> Column:
     """The address behind a redirector or an embed's ``url`` parameter, else the address itself."""
     out = col(url)
     for _ in range(NESTING):
-        inner = query_value(out, "url")
-        out = F.when(inner.rlike("^https?://"), inner).otherwise(out)
+        out = let(out, lambda o: let(query_value(o, "url"), lambda i: F.when(i.rlike("^https?://"), i).otherwise(o)))
     return out
 
 
-def video_id(url) -> Column:
+def _own_video_id(u: Column) -> Column:
+    by_path = F.regexp_extract(
+        u, r"^https?://(?:[^/?#]*\.)?(?:youtube(?:-nocookie)?\.com|youtu\.be)/(?:(?:shorts|live|embed|v|e)/)?([a-zA-Z0-9_-]{11})/?(?:[?#]|$)", 1)
+    return F.coalesce(F.nullif(F.regexp_extract(u, VIDEO_ID, 1), F.lit("")), F.nullif(by_path, F.lit("")))
+
+
+def video_id(url, depth: int = NESTING) -> Column:
     """The 11-character video id of any form of the address, nested ones included."""
-    out = col(url)
-    found = []
-    for _ in range(NESTING):
-        h, path = host(out), F.regexp_extract(out, r"^[a-z]+://[^/]+([^?#]*)", 1)
-        by_path = F.regexp_extract(path, r"^/(?:(?:shorts|live|embed|v|e)/)?([a-zA-Z0-9_-]{11})/?$", 1)
-        site = h.rlike(r"(^|\.)youtube(-nocookie)?\.com$|(^|\.)youtu\.be$")
-        found.append(F.nullif(F.regexp_extract(out, VIDEO_ID, 1), F.lit("")))
-        found.append(F.when(site, F.nullif(by_path, F.lit(""))))
-        out = F.coalesce(*[query_value(out, p) for p in ("continue", "next", "url", "q")])
-    return F.coalesce(*found)
+    def look(u):
+        if depth <= 1:
+            return _own_video_id(u)
+        inner = F.coalesce(*[query_value(u, p) for p in ("continue", "next", "url", "q")])
+        # only an address that nests another one is looked into
+        return F.coalesce(_own_video_id(u), F.when(u.rlike("[?&](?:continue|next|url|q)="), video_id(inner, depth - 1)))
+
+    return let(col(url), look)
 
 
 def playlist_url(url) -> Column:
@@ -74,19 +77,21 @@ def playlist_url(url) -> Column:
 
 def canonical_url(url) -> Column:
     """One address per player: embeds to pages, redirectors unwrapped, tracking off, slash settled."""
-    u = unwrapped(url)
-    h = host(u)
-    video = video_id(u)
-    embed_id = F.regexp_extract(u, r"^https?://(?:www\.)?hearthis\.at/embed/(\d+)", 1)
+    return let(unwrapped(url), lambda u: let(
+        F.struct(u.alias("u"), host(u).alias("h"), video_id(u).alias("video")), _canonical))
+
+
+def _canonical(s: Column) -> Column:
+    u, h, video = s["u"], s["h"], s["video"]
     feed = query_value(u, "feed")
-    feed_page = F.when(feed.startswith("/"), F.concat(F.lit("https://www.mixcloud.com"), feed)).otherwise(feed)
-    locale = F.regexp_replace(without_query(F.split(u, "#")[0]), r"^(https?://[^/]*discogs\.com)/[a-z]{2}(?=/)", "$1")
-    plain = F.regexp_replace(F.split(without_query(u), "#")[0], "/+$", "")
+    bare = F.regexp_replace(u, r"[?#].*$", "")
+    plain = F.regexp_replace(bare, "/+$", "")
     return (F.when(video.isNotNull(), F.concat(F.lit("https://www.youtube.com/watch?v="), video))
-            .when(embed_id != "", F.concat(F.lit("https://hearthis.at/"), embed_id, F.lit("/")))
-            .when(h.rlike(r"(^|\.)mixcloud\.com$") & feed.isNotNull(), feed_page)
+            .when(h == "hearthis.at", F.regexp_replace(bare, r"^https?://(?:www\.)?hearthis\.at/embed/(\d+)/.*$", "https://hearthis.at/$1/"))
+            .when(h.rlike(r"(^|\.)mixcloud\.com$") & u.contains("feed="),
+                  F.regexp_replace(feed, "^/", "https://www.mixcloud.com/"))
             .when(h.rlike(r"(^|\.)soundcloud\.com$"), F.concat(F.regexp_replace(plain, r"^https?://(?:www\.|m\.)?", "https://"), F.lit("/")))
-            .when(h.rlike(r"(^|\.)discogs\.com$"), locale)
+            .when(h.rlike(r"(^|\.)discogs\.com$"), F.regexp_replace(bare, r"^(https?://[^/]*discogs\.com)/[a-z]{2}(?=/)", "$1"))
             .otherwise(F.concat(F.lit("https://"), h, F.regexp_extract(plain, r"^[a-z]+://[^/]+(.*)$", 1))))
 
 

@@ -120,8 +120,9 @@ def write_page_text(spark, sf):
 
 
 LINKS = """
-lk AS (SELECT page_id, url AS page, unnest(regexp_extract_all(html, '(?is)<(?:a|iframe|embed|audio|source)\\b[^>]*?\\s(?:href|src|data-src)\\s*=\\s*["'']([^"'']+)["'']', 1)) AS raw,
-  generate_subscripts(regexp_extract_all(html, '(?is)<(?:a|iframe|embed|audio|source)\\b[^>]*?\\s(?:href|src|data-src)\\s*=\\s*["'']([^"'']+)["'']', 1), 1) - 1 AS pos FROM pages)
+tg AS (SELECT page_id, page, i, tag FROM (SELECT page_id, url AS page, string_split(html, '<') AS tags FROM pages), unnest(tags) WITH ORDINALITY AS t(tag, i)),
+ln AS (SELECT *, regexp_extract(string_split(tag, '>')[1], '(?i)^(?:a|iframe|embed|audio|source)\\b.*\\s(?:href|src|data-src)\\s*=\\s*["\'\']([^"\'\']+)["\'\']', 1) AS raw FROM tg),
+lk AS (SELECT page_id, page, raw, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM ln WHERE raw <> '')
 """
 
 
