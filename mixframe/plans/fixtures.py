@@ -283,3 +283,44 @@ def v_aliases(spark, folder):
 
 def v_names(spark, folder):
     return sql_view(spark, folder, "v_entities", "v_names")
+
+
+VIEWS["v_lines"] = ("""
+v_lines AS (SELECT tl_id AS doc_id, pos - 1 AS line_no, CASE WHEN is_heading AND label = 'Brand#2' THEN 'https://example.org/' || CAST(tl_id AS VARCHAR)
+  WHEN type = 'gap' AND line_no % 2 = 0 THEN '' WHEN text = '?' AND label = 'Brand#1' THEN 'Thanks for listening'
+  WHEN label = 'Brand#4' THEN CAST(pos AS VARCHAR) || ') ' || artist || ' / ' || title
+  WHEN label = 'Brand#5' THEN artist || ' – ' || title || CASE WHEN line_no = 2 THEN ' 00:12:30' ELSE '' END
+  ELSE CAST(CASE WHEN line_no = 5 THEN 1 ELSE pos END AS VARCHAR) || '. ' || artist || ' - ' || title END AS raw FROM v_tracks)""", ["v_tracks"])
+
+
+def v_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """V6: the lines of a description composed from each mix, numbered 0..n."""
+    brand, pos = F.col("label"), F.col("pos").cast("string")
+    number = F.when(F.col("line_no") == 5, "1").otherwise(pos)
+    raw = (F.when(F.col("is_heading") & (brand == "Brand#2"), F.concat(F.lit("https://example.org/"), F.col("tl_id").cast("string")))
+           .when((F.col("type") == "gap") & (F.col("line_no") % 2 == 0), "")
+           .when((F.col("text") == "?") & (brand == "Brand#1"), "Thanks for listening")
+           .when(brand == "Brand#4", F.concat(pos, F.lit(") "), "artist", F.lit(" / "), "title"))
+           .when(brand == "Brand#5", F.concat("artist", F.lit(" – "), "title", F.when(F.col("line_no") == 2, " 00:12:30").otherwise("")))
+           .otherwise(F.concat(number, F.lit(". "), "artist", F.lit(" - "), "title")))
+    return v_tracks(spark, folder).select(F.col("tl_id").alias("doc_id"), (F.col("pos") - 1).alias("line_no"), raw.alias("raw"))
+
+
+def v_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The composed descriptions and all documents, as whole texts."""
+    composed = v_lines(spark, folder).groupBy("doc_id").agg(F.expr("listagg(raw, '\n') WITHIN GROUP (ORDER BY line_no)").alias("text"))
+    docs = read_table(spark, folder, "documents").select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    return composed.unionByName(docs)
+
+
+def v_comments(spark: SparkSession, folder: str) -> DataFrame:
+    """Comments: every conversation turn, and each mix's tracks put on one line by number or cue."""
+    t = v_tracks(spark, folder)
+    by_number = F.concat(F.col("pos").cast("string"), F.lit(". "), "artist", F.lit(" - "), "title")
+    minute = F.floor(F.col("start_s") / 60).cast("int")
+    by_cue = F.concat(F.lit("("), pad_left(minute, 2), F.lit(") "), "artist", F.lit(" - "), "title")
+    body = F.when(F.col("tl_id") % 2 == 0, by_number).otherwise(by_cue)
+    mixes = (t.withColumn("_b", body).groupBy(F.col("tl_id").alias("player_url"))
+             .agg(F.expr("listagg(_b, ' ') WITHIN GROUP (ORDER BY pos)").alias("body")).withColumn("comment_no", F.lit(0).cast("bigint")))
+    talk = read_table(spark, folder, "conversations").select(F.col("conv_id").alias("player_url"), (F.col("turn") + 1).cast("bigint").alias("comment_no"), F.col("text").alias("body"))
+    return mixes.unionByName(talk)
