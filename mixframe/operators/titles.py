@@ -12,7 +12,7 @@ from . import ordered as O
 from .entities import confidence_band
 from .uploads import date_candidates, episodes_from_titles, title_without_date
 
-EPISODE_TAIL = rf"(?i)\s*(?:\b(?:vol|volume|episode|ep|part|pt|no|nr)\.?\s*|#\s?)?\d{{1,5}}$"
+EPISODE_TAIL = r"(?i)(?:^|\s+)(?:(?:vol|volume|episode|ep|part|pt|no|nr)\.?\s*)?#?\s?\d{1,5}$"
 CHUNK_SPLIT = rf"\s+[{SEPARATORS}]+\s+|\s+@\s+|\s*[\[\]()]\s*|\s+w/\s*|\s*\|\s*"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["track_queries", "match_queries", "cue_queries", "upload_queries", "entity_queries", "page_queries", "link_queries", "detect_queries", "text_queries"]
+MODULES = ["track_queries", "match_queries", "cue_queries", "upload_queries", "entity_queries", "page_queries", "link_queries", "detect_queries", "text_queries", "stream_queries"]
 
 
 def _collect(attribute: str) -> dict:

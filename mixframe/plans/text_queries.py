@@ -10,6 +10,7 @@ from ..operators import titles as T
 from ..sources import html_rows
 from . import fixtures as V
 from .registry import Registry
+from .upload_queries import DATES
 
 query = Registry()
 
@@ -36,7 +37,7 @@ def durations(spark, sf):
 @query(_views("""
 SELECT tl_id, pos, CASE tl_id % 6 WHEN 0 THEN artist || ' - ' || title WHEN 1 THEN artist || ', Other - ' || title WHEN 2 THEN artist || ' (feat. Someone) - ' || title
   WHEN 3 THEN artist || ' - ' || title || ' (Night Remix)' WHEN 4 THEN artist || ' - ' || title ELSE artist || ' - ' || title || ' (' || artist || ' Remix)' END AS text,
-  CASE WHEN label IN ('Brand#1', 'Brand#2') THEN '' ELSE 'Deep Label' END AS label FROM v_tracks"""))
+  CASE WHEN label = 'Brand#1' AND tl_id % 6 = 1 THEN artist || ' Records' WHEN label IN ('Brand#1', 'Brand#2') THEN '' ELSE 'Deep Label' END AS label FROM v_tracks"""))
 def track_fields(spark, sf):
     k, a, t = F.col("tl_id") % 6, F.col("artist"), F.col("title")
     artist = (F.when(k == 0, F.concat(a, F.lit(" (US)"))).when(k == 1, F.concat(a, F.lit(", Other, "), F.upper(a)))
@@ -59,16 +60,15 @@ def title_chunks(spark, sf):
     return T.title_chunks(V.v_uploads(spark, sf).select("upload_id", "title", "created_at"))
 
 
-@query(_views("""
-SELECT upload_id, CAST(mix_date AS VARCHAR) || ' - ' || channel || ' - ' || entity ||
+@query(_views(DATES + """
+SELECT upload_id, best.iso || ' - ' || channel || ' - ' || entity ||
   CASE upload_id % 5 WHEN 2 THEN ' (HPX.' || CAST(upload_id % 500 AS VARCHAR) || ')' WHEN 3 THEN '' ELSE ' ' || CAST(upload_id % 500 AS VARCHAR) END AS suggested,
-  channel AS artist, entity FROM v_uploads WHERE upload_id % 4 IN (0, 2)""", "v_uploads"))
+  channel AS artist, entity FROM v_uploads JOIN best USING (upload_id) WHERE r = 1""", "v_uploads"))
 def suggest_titles(spark, sf):
-    """Titles whose date has one reading (ISO and spelled out); the others are in date_candidates."""
     uploads = V.v_uploads(spark, sf)
     lookup = E.lookup_table(V.v_entities(spark, sf), V.v_aliases(spark, sf))
     out = T.suggest_titles(uploads.select("upload_id", "title", "created_at"), lookup)
-    return out.where(F.col("upload_id") % 4 % 2 == 0).select("upload_id", "suggested", "artist", "entity")
+    return out.select("upload_id", "suggested", "artist", "entity")
 
 
 @query()
