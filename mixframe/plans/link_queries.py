@@ -133,7 +133,7 @@ fu AS (SELECT *, CASE WHEN regexp_matches(d, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN d
 SELECT page_id, CAST(pos AS INT) AS pos, raw, CASE WHEN regexp_matches(f, '^https?://') THEN 'https://' || regexp_replace(lower(regexp_extract(f, '://([^/?#]+)', 1)), '^www[.]', '') ||
   regexp_extract(regexp_replace(string_split(string_split(f, '?')[1], '#')[1], '/+$', ''), '^[a-z]+://[^/]+(.*)$', 1) ELSE f END AS url FROM fu""")
 def scan_links(spark, sf):
-    return L.scan_links(V.read_table(spark, sf, "pages")).drop("dated")
+    return L.scan_links(V.spread(V.read_table(spark, sf, "pages"))).drop("dated")
 
 
 HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www[.]', '')"

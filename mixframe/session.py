@@ -30,6 +30,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a stored table that comes in fewer splits than there are cores to all of them.
+
+    Only a small table can: anything beyond one split per core is left as it is read, so nothing
+    is shuffled at scale.  ``df`` must be a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only for a local session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
