@@ -155,14 +155,14 @@ def drop_known_labels(spark, sf):
 
 
 @query(_views("""
-SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS line_no, 'by ' || CASE WHEN o_custkey % 10 < 5 THEN c_name ELSE '@c' || CAST(o_custkey AS VARCHAR) END || ' and @nobody-else' AS raw,
-  CASE WHEN o_custkey % 10 < 5 THEN '@C' || CAST(o_custkey AS VARCHAR) || '=' || c_name ELSE '' END AS replaced
+SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS line_no, 'by ' || CASE WHEN c_acctbal >= 5000 THEN c_name ELSE '@c' || CAST(o_custkey AS VARCHAR) END || ' and @nobody-else' AS raw,
+  CASE WHEN c_acctbal >= 5000 THEN '@C' || CAST(o_custkey AS VARCHAR) || '=' || c_name ELSE '' END AS replaced
 FROM orders JOIN customer ON o_custkey = c_custkey""".replace("ELSE '@c' ||", "ELSE '@C' ||")))
 def resolve_handles(spark, sf):
     o, c = V.read_table(spark, sf, "orders"), V.read_table(spark, sf, "customer")
     lines = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("line_no"),
                      F.concat(F.lit("by @C"), "o_custkey", F.lit(" and @nobody-else")).alias("raw"))
-    handles = c.where("c_custkey % 10 < 5").select(F.concat(F.lit("c"), "c_custkey").alias("handle"), F.col("c_name").alias("name"))
+    handles = c.where("c_acctbal >= 5000").select(F.concat(F.lit("c"), "c_custkey").alias("handle"), F.col("c_name").alias("name"))
     return E.resolve_handles(lines, handles)
 
 
@@ -199,7 +199,7 @@ def pick_qualified_place(spark, sf):
 @query(_views("""
 p AS (SELECT DISTINCT mix_id, r_name, CASE mix_id % 5 WHEN 0 THEN r_name || ' Loft' WHEN 1 THEN r_name WHEN 2 THEN '1/2 ' || r_name
   WHEN 3 THEN r_name || ' For Charity' ELSE n_name || ' Loft' END AS name FROM v_names)
-SELECT mix_id, name, CASE WHEN mix_id % 5 = 4 THEN name WHEN r_name = 'MIDDLE EAST' AND mix_id % 5 = 9 THEN name ELSE r_name END AS place FROM p"""))
+SELECT mix_id, name, CASE WHEN mix_id % 5 = 4 THEN name ELSE r_name END AS place FROM p"""))
 def venue_base(spark, sf):
     k, r = F.col("mix_id") % 5, F.col("r_name")
     name = (F.when(k == 0, F.concat(r, F.lit(" Loft"))).when(k == 1, r).when(k == 2, F.concat(F.lit("1/2 "), r))
