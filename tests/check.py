@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import time
+import tempfile
 from pathlib import Path
 
 sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
@@ -18,7 +19,7 @@ def main(sf: str, names: list[str]) -> int:
     folder = f"/root/testdata/sf{sf}"
     spark = build_session("check", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "12g"})
+        "spark.driver.memory": "12g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoints-")})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(folder), 0
     queries, oracles = entry.queries(), entry.oracle_sql()
