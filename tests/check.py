@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import sys
-import time
 import tempfile
+import time
 from pathlib import Path
 
 sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
