@@ -7,10 +7,72 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import read_table
-from . import substring_dedup, suffix_array_dedup
+from . import (chat_format, decontaminate, embedding_dedup, language_id, ngram_join, source_mixing, substring_dedup,
+               suffix_array_dedup, toxicity, url_filter)
 
 query = Registry()
 
+ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _held_out(modulus: int, rest: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == rest
+
+
+@query(f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+pieces AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) ELSE [array_to_string(w, ' ')] END) AS piece FROM words WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, piece FROM pieces),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_n FROM sets x JOIN sets y ON x.piece = y.piece AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * both_n >= 85 * (p.n + q.n - both_n)),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM reach GROUP BY node) r USING (doc_id)
+""")
+def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.similar_groups(read_table(spark, sf, "documents").select("doc_id", "text"), size=4, percent=85)
+
+
+@query(r"""
+WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+marked AS (SELECT *, replace(replace(replace(text, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>') AS safe FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ' || role || ': ' || safe || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+""")
+def op2_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    one = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+                                                   for i, role in enumerate(("user", "assistant"))])).alias("one")).select("one.*")
+    out = chat_format.format_chats(read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(one))
+    out = out.withColumn("turns", chat_format.read_turns(F.col("formatted")))
+    masked = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat_format.unescape(s["text"], chat_format.CHAT)), "")
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.withColumn("masked", masked).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"),
+        F.sha2(F.col("masked").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query(f"""
+WITH rules(rhost, rpath, rverdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+parts AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+fits AS (SELECT parts.*, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC) AS rank
+  FROM parts LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fits WHERE rank = 1
+""")
+def op3_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(read_table(spark, sf, "pages").select("page_id", "url"), rules)
+
 
 @query()
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,6 +80,36 @@ def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query()
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("held_out", _held_out(4, 2))
+    field = language_id.fit(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs.drop("lang"), field).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.benchmark_matches(read_table(spark, sf, "documents").select("doc_id", "text"), read_table(spark, sf, "benchmark"))
+
+
+@query()
+def op7_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    out = source_mixing.mix_sources(read_table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return out.drop("text")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", _held_out(3, 1))
+    lexicon = toxicity.fit(docs.filter(~F.col("held_out")), read_table(spark, sf, "labels"))
+    return toxicity.score(docs, lexicon).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op9_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_groups(read_table(spark, sf, "embeddings"))
+
+
 @query()
 def op10_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = suffix_array_dedup.drop_repeated_bytes(read_table(spark, sf, "documents").select("doc_id", "text"))
