@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ..plans.registry import Registry
 from ..session import read_table
 from . import (chat_format, decontaminate, embedding_dedup, language_id, ngram_join, source_mixing, substring_dedup,
@@ -114,3 +116,8 @@ def op9_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op10_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = suffix_array_dedup.drop_repeated_bytes(read_table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)

@@ -26,7 +26,7 @@ from .words import slices
 #: hash of their id.
 FIT_ROWS = 8_000
 #: A lexicon entry is in this share of the toxic fit documents at least, and in so many.
-LEAST_SHARE, LEAST_DOCUMENTS = 0.008, 5
+LEAST_SHARE, LEAST_DOCUMENTS = 0.008, 3
 #: Log odds that make an entry.
 LEAST_ODDS = 3.0
 #: Lengths of word beginnings that can be entries; whole words always can.
