@@ -208,13 +208,14 @@ def earlier_spans(docs: DataFrame, words: bool, length: int, core: int, by_docum
     def leaves():
         return docs.mapInArrow(lambda it: leaf_batches(it, words, length, core), LEAVES)
 
-    known = leaves().groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    # a table of its own, so that Spark can split a hot anchor in the join
+    known = stage(leaves().groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "anchors")
     found = stage(leaves().join(known, "a"), "leaves")
     whole, single = _equal_ones(found, length, by_document)
     wanted = stage(single.select("doc", "at").groupBy("doc").agg(F.collect_list("at").alias("ats")), "wanted")
     halves = docs.join(wanted, "doc").select("doc", "text", "ats").mapInArrow(lambda it: half_batches(it, words, length, core), HALVES)
     halves = stage(halves, "halves")
-    known = halves.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    known = stage(halves.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "prefixes")
     halves = halves.join(known, "a")
     same, single = _equal_ones(halves.drop("body"), length, by_document)
     size = single.groupBy("a").agg(F.count("*").alias("size"))
