@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,9 +13,11 @@ from pyspark.sql import functions as F
 WIDE_BLANKS = "\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ZERO_WIDTH = "\\u200b-\\u200d\\ufeff"
 
-# Latin letters and the plain letter each compares as.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+# Latin letters whose decomposition is a plain letter and marks, and that letter.
+_LATIN = [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]
+_FOLDED = [(chr(p), unicodedata.normalize("NFD", chr(p))[0]) for p in _LATIN
+           if chr(p).islower() and unicodedata.normalize("NFD", chr(p))[0] in string.ascii_lowercase]
+FOLD_FROM, FOLD_TO = "".join(a for a, _ in _FOLDED), "".join(b for _, b in _FOLDED)
 
 
 def col(c) -> Column:

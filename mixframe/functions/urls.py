@@ -11,6 +11,8 @@ from .text import col, let
 SUBMIT_HOSTS = ["hearthis.at", "mixcloud.com", "soundcloud.com", "youtube.com", "youtu.be"]
 PRIVATE_PLAYLIST = r"^RD|^(?:WL|LL|LM)$"
 VIDEO_ID = r"(?:youtube(?:-nocookie)?\.com/(?:[^/\n\s]+/\S+/|(?:v|e(?:mbed)?)/|\S*?[?&]v=)|youtu\.be/)([a-zA-Z0-9_-]{11})"
+# Parameters that tell where a visit came from and not what is visited.
+TRACKING = r"^(?:utm_[a-z_]+|si|fbclid|gclid|igshid|mc_[ce]id|ref)(?:=|$)"
 # Nested addresses are looked into this deep.
 NESTING = 3
 
@@ -76,9 +78,9 @@ def playlist_url(url) -> Column:
 
 
 def canonical_url(url) -> Column:
-    """One address per player: embeds to pages, redirectors unwrapped, tracking off, slash settled."""
+    """One address per page: embeds to pages, redirectors unwrapped, playlists reduced, tracking off, slash settled."""
     return let(unwrapped(url), lambda u: let(
-        F.struct(u.alias("u"), host(u).alias("h"), video_id(u).alias("video")), _canonical))
+        F.struct(u.alias("u"), host(u).alias("h"), video_id(u).alias("video"), playlist_url(u).alias("listed")), _canonical))
 
 
 def _canonical(s: Column) -> Column:
@@ -86,13 +88,17 @@ def _canonical(s: Column) -> Column:
     feed = query_value(u, "feed")
     bare = F.regexp_replace(u, r"[?#].*$", "")
     plain = F.regexp_replace(bare, "/+$", "")
+    # what is left of any other address: its parameters without those that only track the visit
+    asked = F.filter(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+    query = F.when(F.size(asked) > 0, F.concat(F.lit("?"), F.array_join(asked, "&"))).otherwise("")
     return (F.when(video.isNotNull(), F.concat(F.lit("https://www.youtube.com/watch?v="), video))
+            .when(s["listed"].isNotNull(), s["listed"])
             .when(h == "hearthis.at", F.regexp_replace(bare, r"^https?://(?:www\.)?hearthis\.at/embed/(\d+)/.*$", "https://hearthis.at/$1/"))
             .when(h.rlike(r"(^|\.)mixcloud\.com$") & u.contains("feed="),
                   F.regexp_replace(feed, "^/", "https://www.mixcloud.com/"))
             .when(h.rlike(r"(^|\.)soundcloud\.com$"), F.concat(F.regexp_replace(plain, r"^https?://(?:www\.|m\.)?", "https://"), F.lit("/")))
             .when(h.rlike(r"(^|\.)discogs\.com$"), F.regexp_replace(bare, r"^(https?://[^/]*discogs\.com)/[a-z]{2}(?=/)", "$1"))
-            .otherwise(F.concat(F.lit("https://"), h, F.regexp_extract(plain, r"^[a-z]+://[^/]+(.*)$", 1))))
+            .otherwise(F.concat(F.lit("https://"), h, F.regexp_extract(plain, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+(.*)$", 1), query)))
 
 
 def undotted_slug(url) -> Column:

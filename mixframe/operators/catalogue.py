@@ -11,7 +11,9 @@ from ..functions.urls import host
 from . import ordered as O
 
 CATEGORY = r"\[\[Category:([^\]|]+)(?:\|([^\]]*))?\]\]"
-PLAYER = r"\{\{Player(?:\|mode=([a-z]+))?([^{}]*)\}\}"
+PLAYER = r"\{\{Player((?:\|(?!\d+=)[a-z]+=[^|\n{}]*)*)([^{}]*)\}\}"
+# Fixed value: an address in a player block, with its number and its title.
+PLAYER_LINE = r"^\|(?:\d+=)?(.*?)(?:\|t\d*=(.*))?$"
 RECENT = 10
 NEWEST = 5
 SHARE = 0.9
@@ -21,6 +23,11 @@ LENGTH_TOLERANCE = 0.3
 NOTES_MIN_PATH = 10
 
 
+def player_mode(options) -> Column:
+    """The mode among the options of a player block, empty without one."""
+    return F.regexp_extract(options, r"\|mode=([a-z]+)", 1)
+
+
 def page_categories(pages: DataFrame) -> DataFrame:
     """One row per page and category; a key given in the category link outranks the page's own."""
     links = F.regexp_extract_all("wikitext", F.lit(CATEGORY), 0)
@@ -59,7 +66,7 @@ def page_signals(pages: DataFrame, styles: DataFrame | None = None) -> DataFrame
     has_notes = w.rlike(r"==\s*Notes\s*==")
     link = F.regexp_extract(notes, r"(https?://\S+)", 1)
     notes_host = F.when(link == "", "none").otherwise(host(link))
-    mode = F.regexp_extract(w, PLAYER, 1)
+    mode = player_mode(F.regexp_extract(w, PLAYER, 1))
     player = (F.when(~w.rlike(r"\{\{Player"), "none").when(mode == "mirrors", "mirrors")
               .when(mode == "", "plain").otherwise("other"))
     live = F.col("title").contains("@")
@@ -119,7 +126,7 @@ def page_players(pages: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split(F.regexp_extract(block, PLAYER, 2), r"\n"), lambda l: F.regexp_replace(F.trim(l), r"^\|(?:\d+=)?", "")),
                      lambda l: l != "")
     return pages.where(block != "").select(
-        "page_id", F.regexp_extract(block, PLAYER, 1).alias("mode"), F.posexplode(lines).alias("_i", "url")).select(
+        "page_id", player_mode(F.regexp_extract(block, PLAYER, 1)).alias("mode"), F.posexplode(lines).alias("_i", "url")).select(
         "page_id", "mode", (F.col("_i") + 1).alias("line_no"), "url")
 
 
@@ -317,22 +324,30 @@ def order_players(urls: DataFrame, key: str = "mix_id") -> DataFrame:
 
 
 def player_blocks(pages: DataFrame, new_urls: DataFrame) -> DataFrame:
-    """Add an address to each page's player block, in platform order, and write the block back.
+    """Add addresses to each page's player block, in platform order, and write the block back.
 
-    One page's block is a handful of lines; they are handled as an array inside the row.
+    One page's block is a handful of lines; they are handled as an array inside the row.  Options of
+    the block and titles of its addresses stay; new addresses of one priority come in their own order.
     """
-    added = new_urls.groupBy("page_id").agg(F.min("url").alias("_new"))
+    added = new_urls.groupBy("page_id").agg(F.array_sort(F.collect_set("url")).alias("_new"))
     block = F.regexp_extract("wikitext", PLAYER, 0)
     out = pages.join(added, "page_id").withColumn("_block", block)
-    lines = F.filter(F.transform(F.split(F.regexp_extract("_block", PLAYER, 2), r"\n"), lambda l: F.regexp_replace(F.trim(l), r"^\|(?:\d+=)?", "")),
-                     lambda l: l != "")
-    urls = F.array_distinct(F.concat(lines, F.array("_new")))
-    ranked = F.transform(F.array_sort(F.transform(urls, lambda u, i: F.struct(player_order(u).alias("o"), i.alias("i"), u.alias("u")))), lambda s: s["u"])
+    # the first bar of a block on one line stands on its own line in the written form
+    lines = F.split(F.regexp_extract("_block", PLAYER, 2), r"\n")
+    lines = F.filter(F.transform(lines, lambda l: F.trim(l)), lambda l: F.regexp_replace(l, r"^\|(?:\d+=)?", "") != "")
+    title = lambda l: F.regexp_extract(l, PLAYER_LINE, 2)
+    old = F.transform(lines, lambda l: F.struct(F.regexp_extract(F.regexp_replace(l, r"^(?!\|)", "|"), PLAYER_LINE, 1).alias("u"), title(l).alias("t")))
+    known = F.transform(old, lambda s: s["u"])
+    new = F.transform(F.array_except("_new", known), lambda u: F.struct(u.alias("u"), F.lit("").alias("t")))
+    ranked = F.transform(F.array_sort(F.transform(F.concat(old, new), lambda s, i: F.struct(player_order(s["u"]).alias("o"), i.alias("i"), s.alias("s")))), lambda s: s["s"])
     out = out.withColumn("_urls", ranked)
-    numbered = F.exists("_urls", lambda u: u.contains("="))
-    body = F.array_join(F.transform("_urls", lambda u, i: F.when(numbered, F.concat(F.lit(" |"), (i + 1).cast("string"), F.lit("="), u))
-                                    .otherwise(F.concat(F.lit(" |"), u))), "\n")
-    head = F.when(F.size("_urls") > 1, F.lit("{{Player|mode=mirrors")).otherwise(F.lit("{{Player"))
+    numbered = F.exists("_urls", lambda s: s["u"].contains("="))
+    number = lambda i: (i + 1).cast("string")
+    named = lambda s, i: F.when(s["t"] != "", F.concat(F.lit("|t"), F.when(i > 0, number(i)).otherwise(""), F.lit("="), s["t"])).otherwise("")
+    body = F.array_join(F.transform("_urls", lambda s, i: F.concat(
+        F.lit(" |"), F.when(numbered, F.concat(number(i), F.lit("="))).otherwise(""), s["u"], named(s, i))), "\n")
+    options = F.regexp_replace(F.regexp_extract("_block", PLAYER, 1), r"\|mode=[^|]*", "")
+    head = F.concat(F.lit("{{Player"), F.when(F.size("_urls") > 1, F.lit("|mode=mirrors")).otherwise(""), options)
     text = F.concat(head, F.lit("\n"), body, F.lit("\n}}"))
     return (out.withColumn("player", text)
             .withColumn("wikitext", F.when(F.col("_block") != "", F.replace("wikitext", F.col("_block"), text)).otherwise(F.col("wikitext")))

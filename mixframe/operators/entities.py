@@ -78,12 +78,12 @@ def entity_family(names: DataFrame, entities: DataFrame, aliases: DataFrame, siz
     kind = (F.when(F.col("whole") & (F.col("_r") == 0), "exact").when(F.col("whole"), "redirect").otherwise("prefix"))
     rows = rows.withColumn("match_type", kind)
     order = F.when(kind == "exact", 0).when(kind == "redirect", 1).otherwise(2)
-    one = rows.groupBy("key", "title").agg(F.min_by(
-        F.struct("type", "mixes", "matched_title", "match_type"), F.struct(order, "matched_title")).alias("r"),
-        F.min(order).alias("_o")).select("key", "title", "_o", "r.*")
+    one = rows.groupBy("key", "title", "type").agg(F.min_by(
+        F.struct("mixes", "matched_title", "match_type"), F.struct(order, "matched_title")).alias("r"),
+        F.min(order).alias("_o")).select("key", "title", "type", "_o", "r.*")
     # top-k: WindowGroupLimit keeps ten rows per prefix and task before the shuffle
     from pyspark.sql import Window
-    w = Window.partitionBy("key").orderBy("_o", F.col("mixes").desc(), "title")
+    w = Window.partitionBy("key").orderBy("_o", F.col("mixes").desc(), "title", "type")
     top = one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size).drop("_o")
     return name_keys(names).join(top, "key").drop("key")
 

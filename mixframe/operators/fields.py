@@ -10,10 +10,20 @@ from ..functions.durations import with_durations as durations
 from ..functions.text import squeeze
 
 
-def track_fields(tracks: DataFrame) -> DataFrame:
-    """Clean artist, title and label of each track, a 'feat.' moved to the artist, and the text."""
+def track_fields(tracks: DataFrame, major_labels: DataFrame | None = None) -> DataFrame:
+    """Clean artist, title and label of each track, a 'feat.' moved to the artist, and the text.
+
+    ``major_labels(label)`` are labels so large that they say nothing about a track: a last label of the
+    list that is one of them, in any case, is left out.
+    """
     out = tracks.withColumn("artist", C.without_country_codes(C.distinct_artists("artist")))
     out = out.withColumn("title", C.clean_title("title")).withColumn("label", C.clean_label("label", "artist"))
+    if major_labels is not None:
+        major = major_labels.select(F.lower(F.trim("label")).alias("_major")).where("_major != ''").distinct()
+        last = F.lower(F.regexp_extract("label", r"([^,]*)$", 1))
+        out = out.join(major, F.trim(last) == F.col("_major"), "left")
+        rest = F.regexp_replace("label", r"(?:^|,)[^,]*$", "")
+        out = out.withColumn("label", F.when(F.col("_major").isNotNull(), rest).otherwise(F.col("label"))).drop("_major")
     feat = F.regexp_extract("title", r"(?i)\s*(\(feat\. [^)]+\))", 1)
     out = out.withColumn("_feat", feat)
     out = out.withColumn("title", F.when(F.col("_feat") != "", squeeze(F.replace("title", F.col("_feat"), F.lit("")))).otherwise(F.col("title")))

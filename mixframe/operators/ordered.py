@@ -149,7 +149,7 @@ def _scan_blocks(df, keys, pos, block, specs):
     inside = base.select("*", *[
         (F.lit(None) if s.reach == "all" else _over(s, part, pos)).alias(f"_i_{n}")
         for n, s in specs.items()])
-    out = inside.join(carry, part, "left")
+    out = null_safe_join(inside, carry, part, "left")
     columns = []
     for name, s in specs.items():
         own, over = F.col(f"_i_{name}"), F.col(f"_c_{name}")
@@ -165,6 +165,13 @@ def _scan_blocks(df, keys, pos, block, specs):
     return out.select(*names, *columns)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list, how: str = "inner") -> DataFrame:
+    """Join on columns of the same name where two NULLs are equal; the left side's keys stay."""
+    other = right.select(*[F.col(k).alias(f"_r_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{i}")) for i, k in enumerate(keys)]
+    return left.join(other, same, how).drop(*[f"_r_{i}" for i in range(len(keys))])
+
+
 def dense_pos(df: DataFrame, key, order: list, longest_pos: int | None, block: int = 0,
               name: str = "pos") -> DataFrame:
     """Number the rows of each mix 1..n in ``order`` (a total order inside the mix).
@@ -189,7 +196,7 @@ def dense_pos(df: DataFrame, key, order: list, longest_pos: int | None, block: i
     shift = (ranged.groupBy("_split", *keys).agg(F.count(F.lit(1)).alias("_n"))
              .withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
     return (ranged.withColumn("_rn", F.row_number().over(inside))
-            .join(shift, ["_split", *keys])
+            .transform(lambda rows: null_safe_join(rows, shift, ["_split", *keys]))
             .withColumn(name, (F.col("_rn") + F.col("_shift")).cast("int"))
             .drop("_split", "_rn", "_shift"))
 

@@ -52,6 +52,12 @@ def filter_listing(uploads: DataFrame, playlists=False, reposts=False, favorites
     return out
 
 
+def usage_status(on_a_page: Column) -> Column:
+    """used, unused or unclear, from the address and its key: what has a second form may stand there in that."""
+    second_form = F.col("url_key").isNull() | is_numeric_form("player_url") | F.col("url_key").startswith("hearthis.at/")
+    return F.when(on_a_page, "used").when(F.coalesce(second_form, F.lit(True)), "unclear").otherwise("unused")
+
+
 def player_usage(uploads: DataFrame, page_players: DataFrame) -> DataFrame:
     """On how many catalogue pages each upload stands, and when the last of them was edited.
 
@@ -63,23 +69,14 @@ def player_usage(uploads: DataFrame, page_players: DataFrame) -> DataFrame:
              .groupBy("url_key").agg(F.count(F.lit(1)).alias("n_pages"), F.max("last_edit").alias("last_edit")))
     keyed = uploads.withColumn("url_key", player_key("player_url"))
     out = keyed.join(pages, "url_key", "left")
-    return (out.withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
-            .withColumn("status", F.when(F.col("n_pages") > 0, "used")
-                        .when(F.col("url_key").isNull() | is_numeric_form("player_url")
-                              | (host("player_url") == "hearthis.at"), "unclear")
-                        .otherwise("unused")))
+    return out.withColumn("n_pages", F.coalesce("n_pages", F.lit(0))).withColumn("status", usage_status(F.col("n_pages") > 0))
 
 
 def partition_usage(uploads: DataFrame, page_players: DataFrame) -> DataFrame:
     """Every upload address in exactly one of the sets used, unused, unclear."""
-    keys = uploads.select(player_key("player_url").alias("url_key")).distinct()
-    pages = page_players.select("url_key").distinct()
-    used = keys.intersect(pages)
-    rest = keys.exceptAll(used)
-    unclear = rest.where(F.col("url_key").startswith("hearthis.at/"))
-    unused = rest.exceptAll(unclear)
-    tag = lambda df, name: df.withColumn("part", F.lit(name))
-    return tag(used, "used").unionByName(tag(unused, "unused")).unionByName(tag(unclear, "unclear"))
+    keys = uploads.groupBy(player_key("player_url").alias("url_key")).agg(F.min("player_url").alias("player_url"))
+    pages = page_players.select("url_key").distinct().withColumn("_on", F.lit(True))
+    return keys.join(pages, "url_key", "left").select("url_key", usage_status(F.col("_on").isNotNull()).alias("part"))
 
 
 def status_by_either_key(urls: DataFrame, results: DataFrame) -> DataFrame:

@@ -140,8 +140,9 @@ HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www[.]',
 
 
 @query("WITH " + f"""
-c AS (SELECT page_id, url, {HOST} AS host, regexp_replace(string_split(string_split(url, '?')[1], '#')[1], '/+$', '') AS plain FROM pages)
-SELECT page_id, url, host, 'https://' || host || regexp_extract(plain, '^[a-z]+://[^/]+(.*)$', 1) AS canonical,
+c AS (SELECT page_id, url, {HOST} AS host, array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'),
+    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z_]+|si|fbclid|gclid|igshid|mc_[ce]id|ref)(=|$)')), '&') AS asked, regexp_replace(string_split(string_split(url, '?')[1], '#')[1], '/+$', '') AS plain FROM pages)
+SELECT page_id, url, host, 'https://' || host || regexp_extract(plain, '^[a-z]+://[^/]+(.*)$', 1) || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS canonical,
   regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '^www[.]', ''), '/$', '') AS url_key,
   regexp_replace(regexp_replace(url, '/$', ''), '[^/]*$', '') || replace(regexp_extract(regexp_replace(url, '/$', ''), '([^/]*)$', 1), '.', '') || '/' AS undotted FROM c""")
 def canonical_urls(spark, sf):

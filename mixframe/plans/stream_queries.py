@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import STATE_STORE, ensure_checkpoint_dir
 from ..streaming import jobs as J
 from . import fixtures as V
 from .registry import Registry
@@ -27,6 +27,8 @@ def run(stream: DataFrame) -> DataFrame:
     """Run what is there to its end into a table of the checkpoint folder, and read that."""
     spark = stream.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # read when a query starts; a session may have been built elsewhere
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     (stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state")
      .outputMode("append").trigger(availableNow=True).start(f"{base}/rows").awaitTermination())
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
@@ -66,15 +68,29 @@ def stream_bursts(spark, sf):
     return run(J.stream_bursts(events(spark, sf), "6 hours", "1 hour", "user_id").select("user_id", "n"))
 
 
-@query()
+TTL = """WITH RECURSIVE r AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, CASE WHEN event_type <> 'error' THEN event_type END AS answer FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, answer IS NULL, answer) AS n FROM r),
+w AS (SELECT key, n, ts, 'ask' AS kind, answer, ts + CASE WHEN answer IS NULL THEN INTERVAL 1 DAY ELSE INTERVAL 2 DAY END AS ends FROM o WHERE n = 1
+  UNION ALL SELECT o.key, o.n, o.ts, CASE WHEN o.ts < w.ends THEN 'hit' ELSE 'ask' END, CASE WHEN o.ts < w.ends THEN w.answer ELSE o.answer END,
+    CASE WHEN o.ts < w.ends THEN w.ends ELSE o.ts + CASE WHEN o.answer IS NULL THEN INTERVAL 1 DAY ELSE INTERVAL 2 DAY END END
+  FROM w JOIN o ON o.key = w.key AND o.n = w.n + 1)
+SELECT key, kind, coalesce(answer, '') AS answer, count(*) AS n FROM w
+WHERE date_trunc('second', ts) + INTERVAL 1 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2, 3"""
+
+
+@query(TTL)
 def stream_ttl_lookup(spark, sf):
+    """Answers kept for two days and misses for one; the requests of the last hour are still open."""
     feed = events(spark, sf).select(F.col("user_id").cast("string").alias("key"), "ts",
                                     F.when(F.col("event_type") != "error", F.col("event_type")).alias("answer"))
-    return run(J.stream_ttl_lookup(feed))
+    out = run(J.stream_ttl_lookup(feed, "1 hour", (2 * J.DAY, J.DAY)))
+    return out.groupBy("key", "kind", F.coalesce("answer", F.lit("")).alias("answer")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH b AS (SELECT CAST(user_id AS VARCHAR) AS key, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS started,
+  max(struct_pack(g := event_id % 1000, v := event_type)) AS top FROM events GROUP BY 1, 2)
+SELECT key, top.g AS generation, top.v AS value FROM b WHERE started + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_latest(spark, sf):
-    feed = events(spark, sf).select(F.col("user_id").cast("string").alias("key"), (F.col("event_id") % 1000).alias("generation"),
+    feed = events(spark, sf).select(F.col("user_id").cast("string").alias("key"), "ts", (F.col("event_id") % 1000).alias("generation"),
                                     F.col("event_type").alias("value"))
-    return run(J.stream_latest(feed))
+    return run(J.stream_latest(feed, "1 hour", "1 day")).drop("started")

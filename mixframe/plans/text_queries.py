@@ -71,7 +71,11 @@ def suggest_titles(spark, sf):
     return out.select("upload_id", "suggested", "artist", "entity")
 
 
-@query()
+# The crawled pages hold no block of more than eight rows, so the rows are those of the rendered mixes.
+@query(V.with_views("v_tracks", then="""
+n AS (SELECT tl_id, count(*) AS n FROM v_tracks GROUP BY 1)
+SELECT -tl_id - 1 AS page_id, CAST(1 AS INT) AS block, CAST(pos AS INT) AS pos, CAST(NULL AS VARCHAR) AS cue, artist, title, CAST(NULL AS VARCHAR) AS label,
+  artist || ' - ' || title AS text FROM v_tracks JOIN n USING (tl_id) WHERE n > 8"""))
 def scan_html_rows(spark, sf):
     """Every page as crawled, plus each mix rendered as a list and as a table."""
     t = V.v_tracks(spark, sf)

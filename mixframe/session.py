@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # What the jobs were planned for; a session may override any of it.
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,6 +18,8 @@ RECOMMENDED_CONF = {
     # A job that windows after a join would otherwise keep a skewed join unsplit.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # State with lists and timers needs it.
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
 }
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

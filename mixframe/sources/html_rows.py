@@ -19,63 +19,90 @@ from ..operators import ordered as O
 # Blocks this short are no tracklist; tables shorter than MIN_TABLE never are.
 SHORT_BLOCK = 8
 MIN_TABLE = 3
-CELL_SCHEMA = "page_id BIGINT, block INT, kind STRING, row INT, cell INT, class STRING, text STRING"
+CELL_SCHEMA = "page_id BIGINT, _host STRING, block INT, kind STRING, row INT, cell INT, class STRING, text STRING"
+
+
+LEAVES = ("td", "th", "span", "div", "abbr", "h3", "h4")
+BLOCKS = {"ul": "list", "ol": "list", "table": "table", "p": "p"}
 
 
 class _Cells(HTMLParser):
-    """Leaf texts with their block (list, table or paragraph), row and cell number."""
+    """Leaf texts with their block (list, table or paragraph), row and cell number.
+
+    Open blocks and open leaves are stacks: a nested list does not end the table around it, and a link
+    inside a cell does not change the cell's class.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.block, self.kind, self.row, self.cell, self.cls, self.buf = [], 0, "", 0, 0, "", []
-        self.skip = 0
+        self.out, self.buf, self.skip, self.n = [], [], 0, 0
+        self.blocks: list[list] = []  # tag, number, kind, row, cell
+        self.leaves: list[tuple[str, str]] = []  # tag, class
 
     def _flush(self):
         text = "".join(self.buf).strip()
-        if text and self.kind:
-            self.out.append((self.block, self.kind, self.row, self.cell, self.cls, text))
-            self.cell += 1
+        if text and self.blocks:
+            _, number, kind, row, cell = self.blocks[-1]
+            cls = next((c for _, c in reversed(self.leaves) if c), "")
+            self.out.append((number, kind, row, cell, cls, text))
+            self.blocks[-1][4] += 1
         self.buf = []
 
+    def _close(self, stack, tag):
+        """Close ``tag`` and what was left open inside it; a stray end tag closes nothing."""
+        at = max((i for i, entry in enumerate(stack) if entry[0] == tag), default=None)
+        if at is not None:
+            del stack[at:]
+
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
             self.skip += 1
-        if tag in ("ul", "ol", "table", "p"):
+        elif tag in BLOCKS:
             self._flush()
-            self.block, self.kind, self.row, self.cell = self.block + 1, {"ul": "list", "ol": "list"}.get(tag, tag), 0, 0
-        elif tag in ("li", "tr") or (tag == "br" and self.kind == "p"):
+            if tag == "p":
+                self._close(self.blocks, "p")
+            self.n += 1
+            self.blocks.append([tag, self.n, BLOCKS[tag], 0, 0])
+        elif tag in ("li", "tr") or (tag == "br" and self.blocks and self.blocks[-1][2] == "p"):
             self._flush()
-            self.row, self.cell = self.row + 1, 0
-        elif tag in ("td", "th", "span", "div", "abbr", "h3", "h4"):
+            self.leaves.clear()
+            if self.blocks:
+                self.blocks[-1][3] += 1
+                self.blocks[-1][4] = 0
+        if tag in LEAVES or tag == "li":
             self._flush()
-        self.cls = dict(attrs).get("class") or ""
+            self.leaves.append((tag, dict(attrs).get("class") or ""))
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
-        if tag in ("td", "th", "span", "div", "abbr", "h3", "h4", "li", "tr", "p", "ul", "ol", "table"):
+        elif tag in LEAVES or tag in ("li", "tr") or tag in BLOCKS:
             self._flush()
-        if tag in ("p", "ul", "ol", "table"):
-            self.kind = ""
+            self._close(self.blocks if tag in BLOCKS else self.leaves, tag)
 
     def handle_data(self, data):
         if not self.skip:
             self.buf.append(data)
 
+    def close(self):
+        super().close()
+        self._flush()
+
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for page_id, html in zip(pdf.page_id, pdf.html):
+        for page_id, host, html in zip(pdf.page_id, pdf._host, pdf.html):
             parser = _Cells()
             parser.feed(html or "")
             parser.close()
-            rows.extend((page_id, *r) for r in parser.out)
-        yield pd.DataFrame(rows, columns=["page_id", "block", "kind", "row", "cell", "class", "text"])
+            rows.extend((page_id, host, *r) for r in parser.out)
+        yield pd.DataFrame(rows, columns=["page_id", "_host", "block", "kind", "row", "cell", "class", "text"])
 
 
 def html_cells(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "html").mapInPandas(_cells, CELL_SCHEMA)
+    host = F.regexp_extract("url", "://([^/]+)", 1).alias("_host")
+    return pages.select("page_id", host, "html").mapInPandas(_cells, CELL_SCHEMA)
 
 
 def scan_html_rows(pages: DataFrame, site_spec: DataFrame) -> DataFrame:
@@ -84,12 +111,15 @@ def scan_html_rows(pages: DataFrame, site_spec: DataFrame) -> DataFrame:
     ``site_spec(host, kind, role, class_pattern, cell)`` names the cell of each role by its class
     or, where that is NULL, by its number; ``host`` '*' is for every page.
     """
-    cells = html_cells(pages).join(pages.select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("_host")), "page_id")
-    spec = site_spec.select(F.col("host").alias("_sh"), F.col("kind").alias("_sk"), "role", "class_pattern", F.col("cell").alias("_sc"))
-    by_class = F.col("class_pattern").isNotNull() & F.expr("class rlike class_pattern")
-    by_cell = F.col("class_pattern").isNull() & (F.col("cell") == F.col("_sc"))
-    hit = cells.join(spec, (F.col("kind") == F.col("_sk")) & F.col("_sh").isin("*") & (by_class | by_cell)
-                     | ((F.col("kind") == F.col("_sk")) & (F.col("_host") == F.col("_sh")) & (by_class | by_cell)))
+    cells = html_cells(pages)
+    # the rules of each host and kind first: one short list, joined on both
+    hosts = pages.select(F.regexp_extract("url", "://([^/]+)", 1).alias("_host")).distinct()
+    own = site_spec.where("host != '*'").join(hosts, F.col("host") == F.col("_host"))
+    common = hosts.join(site_spec.where("host = '*'").agg(F.collect_list(F.struct("kind", "role", "class_pattern", "cell")).alias("_all")))
+    rules = own.select("_host", "kind", "role", "class_pattern", "cell").unionByName(common.select("_host", F.inline("_all")))
+    rules = rules.groupBy("_host", "kind").agg(F.collect_list(F.struct("role", "class_pattern", F.col("cell").alias("at"))).alias("_rules"))
+    hit = cells.join(rules, ["_host", "kind"]).select("*", F.inline("_rules")).drop("_rules")
+    hit = hit.where(F.when(F.col("class_pattern").isNotNull(), F.expr("class rlike class_pattern")).otherwise(F.col("cell") == F.col("at")))
     value = squeeze(F.translate("text", " ", " "))
     pick = lambda r: F.min_by(value, F.when(F.col("role") == r, F.col("cell")))
     rows = hit.groupBy("page_id", "block", "kind", "row").agg(*[pick(r).alias(r) for r in ("cue", "artist", "title", "label")])

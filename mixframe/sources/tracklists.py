@@ -48,9 +48,8 @@ def line_text():
 
 
 def write_tracklists(tracks: DataFrame, part_rows: int = 0) -> DataFrame:
-    """One text per mix; a mix longer than one block comes out in numbered parts."""
-    size = part_rows or O.BLOCK
-    return (tracks.withColumn("line", line_text()).where(F.col("line").isNotNull())
-            .withColumn("part", F.floor(F.col("pos") / F.lit(size)).cast("int"))
+    """One text per mix; with ``part_rows`` one text for every so many positions, numbered."""
+    part = F.floor(F.col("pos") / F.lit(part_rows)).cast("int") if part_rows else F.lit(0)
+    return (tracks.withColumn("line", line_text()).where(F.col("line").isNotNull()).withColumn("part", part)
             .groupBy("tl_id", "part")
             .agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY pos)").alias("text")))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.urls import player_key
 
@@ -47,47 +47,80 @@ def stream_bursts(stream: DataFrame, gap: str, delay: str, key: str) -> DataFram
         key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def stream_ttl_lookup(stream: DataFrame, ttl: tuple[int, int] = NAME_TTL) -> DataFrame:
+class _Remembered(StatefulProcessor):
+    """Per key: requests that may still be overtaken, and the answer in force with its end.
+
+    Requests wait until the watermark has passed them and are then answered in the order of their
+    event time, so arrival order and file layout do not matter.  What has ended is forgotten by a timer.
+    """
+
+    def __init__(self, ttl: tuple[int, int]):
+        self.kept, self.missed = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at BIGINT, answer STRING")
+        self.answer = handle.getValueState("answer", "answer STRING, ends BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            at = pdf["ts"].astype("datetime64[us]").astype("int64")
+            on_time = at // 1000 >= now
+            if on_time.any():
+                self.waiting.appendList([(int(t), None if pd.isna(a) else str(a)) for t, a in zip(at[on_time], pdf["answer"][on_time])])
+                # a timer for each whole second that has requests
+                for t in sorted(set((at[on_time] // 1_000_000).tolist())):
+                    self.handle.registerTimer((t + 1) * 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # equal times: known answers before missing ones, then by text
+        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1] is None, r[1] or ""))
+        answer, ends = self.answer.get() if self.answer.exists() else (None, -1)
+        out, rest = [], []
+        for at, found in waiting:
+            if at >= due:
+                rest.append((at, found))
+            elif at < ends:
+                out.append((at, "hit", answer))
+            else:
+                answer, ends = found, at + (self.missed if found is None else self.kept) * 1_000_000
+                out.append((at, "ask", answer))
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if ends > due:
+            self.answer.update((answer, ends))
+            self.handle.registerTimer(ends // 1000 + 1)
+        else:
+            self.answer.clear()
+        if out:
+            yield pd.DataFrame({"key": [key[0]] * len(out), "ts": pd.to_datetime([r[0] for r in out], unit="us"),
+                                "kind": [r[1] for r in out], "answer": pd.Series([r[2] for r in out], dtype="object")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_ttl_lookup(stream: DataFrame, delay: str, ttl: tuple[int, int] = NAME_TTL) -> DataFrame:
     """``(key, ts, answer)`` requests: 'ask' when nothing valid is remembered, else 'hit'.
 
-    What is remembered per key is one answer and when it ends; a missing answer ends sooner.
-    Chunks of a key are read one after the other, so a busy key never has to fit in memory.
+    What is remembered per key is one answer and when it ends; a missing answer ends sooner.  A request
+    is answered once the watermark has passed it; one later than ``delay`` is dropped.
+    """
+    return (stream.select("key", "ts", "answer").withWatermark("ts", delay).groupBy("key")
+            .transformWithStateInPandas(_Remembered(ttl), "key STRING, ts TIMESTAMP, kind STRING, answer STRING", "Append", "eventTime"))
+
+
+def stream_latest(stream: DataFrame, delay: str, window: str) -> DataFrame:
+    """``(key, generation, value)``: per key and window of event time, the answers of its newest generation.
+
+    An answer for a generation that is superseded inside the window is dropped, whatever order the two
+    arrive in; the window comes out once the watermark has passed it.
     """
-    kept, missed = ttl
-
-    def look(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        answer, ends = state.get if state.exists else (None, -1.0)
-        for pdf in chunks:
-            pdf = pdf.sort_values("ts", kind="stable")
-            seconds = pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6
-            rows = []
-            for at, found in zip(seconds, pdf["answer"]):
-                if at < ends:
-                    rows.append(("hit", answer))
-                    continue
-                answer = None if pd.isna(found) else str(found)
-                ends = float(at + (missed if answer is None else kept))
-                rows.append(("ask", answer))
-            yield pd.DataFrame({"key": pdf["key"].to_numpy(), "ts": pdf["ts"].to_numpy(),
-                                "kind": [r[0] for r in rows], "answer": [r[1] for r in rows]})
-        state.update((answer, ends))
-
-    return (stream.select("key", "ts", "answer").groupBy("key")
-            .applyInPandasWithState(look, "key STRING, ts TIMESTAMP, kind STRING, answer STRING",
-                                    "answer STRING, ends DOUBLE", "append", GroupStateTimeout.NoTimeout))
-
-
-def stream_latest(stream: DataFrame) -> DataFrame:
-    """``(key, generation, value)``: an answer for a generation already superseded is dropped."""
-    def keep(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top = state.get[0] if state.exists else -1
-        for pdf in chunks:
-            best = pdf["generation"].cummax().clip(lower=top)
-            out = pdf[pdf["generation"] >= best]
-            top = max(top, int(pdf["generation"].max()))
-            yield out[["key", "generation", "value"]]
-        state.update((top,))
-
-    return (stream.select("key", "generation", "value").groupBy("key")
-            .applyInPandasWithState(keep, "key STRING, generation BIGINT, value STRING",
-                                    "top BIGINT", "append", GroupStateTimeout.NoTimeout))
+    top = F.max(F.struct("generation", "value")).alias("top")
+    windows = stream.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "key").agg(top)
+    return windows.select("key", F.col("w.start").alias("started"), "top.generation", "top.value")

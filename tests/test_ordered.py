@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from mixframe.operators import cue_jobs, match, ordered as O, tracks as T
@@ -90,12 +92,11 @@ def pair_rows(spark, seed, n=40):
 def test_long_pairs_match_like_short_ones(spark):
     cand, orig = pair_rows(spark, 2)
     cn, on = match.track_norms(cand), match.track_norms(orig)
-    exact = match.match_tracks_exact(cn, on)
-    assert rows(match.match_tracks_fuzzy(cn, on, exact)) == rows(match.match_tracks_fuzzy(cn, on, exact, pair_rows=1))
-    assert rows(match.best_match(cn, on)) == rows(match.best_match(cn, on, pair_rows=1))
+    assert rows(match.best_match(cn, on)) == rows(match.best_match(cn, on, part_rows=1))
 
 
-def test_fuzzy_is_what_brute_force_finds(spark):
+@pytest.mark.parametrize("threshold", [0.8, 0.6, 0.95])
+def test_fuzzy_is_what_brute_force_finds(spark, threshold):
     cand, orig = pair_rows(spark, 7, 25)
     c = [r.text.lower() for r in cand.orderBy("pos").collect()]
     o = [r.text.lower() for r in orig.orderBy("pos").collect()]
@@ -111,7 +112,7 @@ def test_fuzzy_is_what_brute_force_finds(spark):
 
     def similar(a, b):
         n = max(len(a), len(b))
-        return abs(len(a) - len(b)) <= int((1 - .8) * n) and (n - distance(a, b)) / n >= .8
+        return abs(len(a) - len(b)) <= int((1 - threshold) * n) and (n - distance(a, b)) / n >= threshold
 
     def norm(t):
         return " ".join(t.split())
@@ -132,5 +133,5 @@ def test_fuzzy_is_what_brute_force_finds(spark):
             want[i] = hit
     cn, on = match.track_norms(cand), match.track_norms(orig)
     exact = match.match_tracks_exact(cn, on)
-    both = exact.unionByName(match.match_tracks_fuzzy(cn, on, exact))
+    both = exact.unionByName(match.match_tracks_fuzzy(cn, on, exact, threshold))
     assert {r.cand_pos: r.orig_pos for r in both.collect()} == want

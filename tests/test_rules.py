@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mixframe.functions import clean, cues, dates, durations, episodes, lines, text, track_text, urls
-from mixframe.operators import detect, merge
-from mixframe.sources import tracklists
+from mixframe.operators import catalogue, detect, entities, fields, merge, ordered, uploads as upload_jobs
+from mixframe.sources import html_rows, tracklists, uploads
 
 
 def values(spark, cases, column, kind="string"):
@@ -160,3 +160,107 @@ def test_diff(spark):
     got = {(r.side, r.pos): (r.status, r.changed_text) for r in merge.diff_tracklists(a, b).collect()}
     assert got[("b", 1)] == ("same", "") and got[("b", 2)] == ("same", "")
     assert got[("b", 3)] == ("changed", "remix")
+
+
+# --- nothing is lost
+
+def test_uploads_at_any_depth_and_in_mixed_lists(spark):
+    item = '{"url": "https://a.example/%s", "duration": 5}'
+    deep = item % "deep"
+    for _ in range(40):
+        deep = '{"x": [%s]}' % deep
+    rows = [(1, deep), (2, '{"c": [%s, 7]}' % (item % "mixed")), (3, '[[1, {"y": %s}], "z"]' % (item % "list")), (4, '{"url": "https://a.example/text", "duration": "5"}'), (5, "no json")]
+    got = uploads.scan_uploads(spark.createDataFrame(rows, "ingest_no long, json string"))
+    assert {r.player_url.rsplit("/", 1)[1] for r in got.collect()} == {"deep", "mixed", "list"}
+
+
+def test_norms_grow_with_the_names(spark):
+    text_of = lambda n: " & ".join(f"Act{i:02d}" for i in range(n)) + " - Song"
+    got = values(spark, [text_of(3), text_of(12), text_of(13), text_of(40)], track_text.norm_array)
+    assert [len(g) for g in got] == [4, 13, 14, 41] and all(g[0] == "act00 - song" for g in got)
+
+
+@pytest.mark.parametrize("block", [2, 100])
+def test_scans_keep_rows_without_a_key(spark, block):
+    df = spark.createDataFrame([(k, i, i % 3) for k in (None, 1) for i in range(7)], "k int, p int, v int")
+    numbered = ordered.dense_pos(df, "k", ["p"], 7, block, "n")
+    assert sorted((r.k or 0, r.p, r.n) for r in numbered.collect()) == [(k, i, i + 1) for k in (0, 1) for i in range(7)]
+    scanned = ordered.scan(df, "k", "p", 7, block, s=ordered.sum_upto(F.col("v")), b=ordered.lag(F.col("v")))
+    want = [(k, i, sum(j % 3 for j in range(i + 1)), (i - 1) % 3 if i else -1) for k in (0, 1) for i in range(7)]
+    assert sorted((r.k or 0, r.p, r.s, -1 if r.b is None else r.b) for r in scanned.collect()) == want
+
+
+def test_player_blocks_keep_options_and_take_every_address(spark):
+    pages = spark.createDataFrame([(1, "x\n{{Player|video=audio\n |https://youtu.be/a|t=One\n}}\ny"), (2, "no block")], "page_id long, wikitext string")
+    new = spark.createDataFrame([(1, "https://z.example/1"), (1, "https://b.example/2"), (2, "https://b.example/3?a=1")], "page_id long, url string")
+    got = {r.page_id: r for r in catalogue.player_blocks(pages, new).collect()}
+    assert got[1].wikitext == "x\n{{Player|mode=mirrors|video=audio\n |https://youtu.be/a|t=One\n |https://b.example/2\n |https://z.example/1\n}}\ny"
+    assert got[2].player == "{{Player\n |1=https://b.example/3?a=1\n}}" and got[2].wikitext == "no block"
+
+
+def test_family_keeps_both_types_of_a_title(spark):
+    found = spark.createDataFrame([("Circo Loco", "venue", 9), ("Circo Loco", "podcast", 3)], "title string, type string, mixes int")
+    out = entities.entity_family(spark.createDataFrame([("Circo",)], "name string"), found, spark.createDataFrame([], "alias string, target string"))
+    assert {(r.title, r.type, r.mixes) for r in out.collect()} == {("Circo Loco", "venue", 9), ("Circo Loco", "podcast", 3)}
+
+
+def test_text_behind_the_last_cue_stays(spark):
+    body = "[0:00] A [1:00] B [2:00] C [3:00] D [4:00] E [5:00] F see [1:30] again"
+    out = detect.split_cued_comments(spark.createDataFrame([("u", 0, body)], "player_url string, comment_no bigint, body string"))
+    raws = [r.raw for r in out.orderBy("line_no").collect()]
+    assert len(raws) == 6 and raws[0].endswith("A") and "see" in raws[-1] and raws[-1].endswith("again")
+
+
+def test_long_mixes_stay_one_text(spark):
+    df = spark.range(70_000).selectExpr("1 AS tl_id", "CAST(id + 1 AS INT) AS pos", "'track' AS type", "CAST(NULL AS STRING) AS cue", "'t' AS text", "CAST(NULL AS STRING) AS label")
+    assert [r.n for r in tracklists.write_tracklists(df).selectExpr("length(text) AS n").collect()] == [139_999]
+    assert tracklists.write_tracklists(df, 10_000).count() == 8
+
+
+def test_usage_is_unclear_where_an_address_has_a_second_form(spark):
+    u = spark.createDataFrame([(1, "https://hearthis.at/12345/"), (2, "https://hearthis.at/dj/set/"), (3, "https://a.example/x"), (4, "https://a.example/y")], "upload_id int, player_url string")
+    pages = spark.createDataFrame([("a.example/x", 7, 1)], "url_key string, page_id int, last_edit int")
+    want = {1: "unclear", 2: "unclear", 3: "used", 4: "unused"}
+    assert {r.upload_id: r.status for r in upload_jobs.player_usage(u, pages).collect()} == want
+    parts = {r.url_key: r.part for r in upload_jobs.partition_usage(u, pages).collect()}
+    assert parts == {"hearthis.at/12345": "unclear", "hearthis.at/dj/set": "unclear", "a.example/x": "used", "a.example/y": "unused"}
+
+
+def test_addresses_keep_what_names_the_page(spark):
+    cases = {"https://example.com/?p=1&utm_source=x": "https://example.com?p=1", "https://example.com/?p=2#top": "https://example.com?p=2",
+             "https://www.youtube.com/playlist?list=PL123&si=9": "https://www.youtube.com/playlist?list=PL123",
+             "https://m.soundcloud.com/a/sets/b?si=1": "https://soundcloud.com/a/sets/b", "HTTP://www.Example.com/A/?ref=q": "https://example.com/A"}
+    assert values(spark, list(cases), urls.canonical_url) == list(cases.values())
+
+
+def test_names_fold_by_decomposition(spark):
+    assert values(spark, ["Timișoara", "Nguyễn", "ǍȚ"], text.name_key) == ["timisoara", "nguyen", "at"]
+
+
+def test_more_episode_words(spark):
+    cases = {"Whose These Cast 02": "02", "Radioshow 12": "12", "Mixtape 7": "7", "Folge 3": "3", "Label Recordings 44": "44"}
+    got = values(spark, list(cases), episodes.find_episode)
+    assert [g.text if g else None for g in got] == list(cases.values())
+
+
+def test_crawled_cells_keep_class_and_block(spark):
+    row = '<tr><td><p>x</p><ul><li>y</li></ul><span class="artist"><a href="q">Act{0}</a></span></td><td>T{0}</td></tr>'
+    html = "<table>" + "".join(row.format(i) for i in range(9)) + "</table>"
+    pages = spark.createDataFrame([(1, "https://h.example/p", html)], "page_id long, url string, html string")
+    spec = spark.createDataFrame([("h.example", "table", "artist", "artist", None), ("*", "table", "title", None, 1)], "host string, kind string, role string, class_pattern string, cell int")
+    out = html_rows.scan_html_rows(pages, spec).orderBy("pos").collect()
+    assert [r.text for r in out] == [f"Act{i} - T{i}" for i in range(9)]
+
+
+def test_video_titles_and_search_keys(spark):
+    cases = {"Act - Song (Official Video) [HD]": "Act - Song", "PREMIERE: Act - Song [Label] [CAT001]": "Act - Song", "Act | Song_mix.mp4": "Act - Song mix",
+             "[2019] Act - Song": "Act - Song", "Act - Song (2019)": "Act - Song", "Act -- Song 1080p": "Act - Song"}
+    assert values(spark, list(cases), clean.video_title) == list(cases.values())
+    row = fields.search_keys(spark.createDataFrame([("Act - Song (Mixed) [X]",)], "title string")).head()
+    assert row.streaming == "Act - Song (X)" and row.search == "Act Song Mixed X"
+
+
+def test_major_labels_are_a_table(spark):
+    tracks = spark.createDataFrame([("A", "T", "Small, BIG Co"), ("A", "T", "Big Co"), ("A", "T", "Small")], "artist string, title string, label string")
+    out = fields.track_fields(tracks, spark.createDataFrame([("big co",)], "label string"))
+    assert sorted(r.label for r in out.collect()) == ["", "Small", "Small"]
