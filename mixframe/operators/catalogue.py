@@ -44,6 +44,12 @@ def recent_pages(categorised: DataFrame, n: int = RECENT) -> DataFrame:
     return categorised.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def recent_sources(pages: DataFrame, n: int = RECENT, without: list[str] | tuple = ()) -> DataFrame:
+    """The newest pages of each category with their source: ranked by keys alone, the text joined to the winners."""
+    keys = page_categories(pages).select("category", "sortkey", "page_id").where(~F.col("category").isin(*without))
+    return recent_pages(keys, n).join(pages, "page_id")
+
+
 def recent_titles(categorised: DataFrame, n: int = RECENT) -> DataFrame:
     top = recent_pages(categorised, n).groupBy("category").agg(
         F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("_t"))
@@ -82,7 +88,7 @@ def learn_conventions(pages: DataFrame, share: float = SHARE, n: int = RECENT, n
     """Verdict per category and signal: the answer 90 % of the newest pages give, or the newest
     five give as one.  'none' never wins; live recordings have no say on the image unless all are.
     """
-    top = recent_pages(page_categories(pages).where(~F.col("category").isin(*vocab.BUCKETS)), n)
+    top = recent_sources(pages, n, vocab.BUCKETS)
     read = page_signals(top)
     by_page = read.select("category", "page_id", "rank", "live", F.explode(F.array_distinct("signals")).alias("s")).select(
         "category", "page_id", "rank", "live", "s.*")
@@ -132,7 +138,7 @@ def page_players(pages: DataFrame) -> DataFrame:
 
 def learn_slot(pages: DataFrame, n: int = RECENT) -> DataFrame:
     """Line a host occupies in a series' mirror players, only if every mirror page agrees."""
-    top = recent_pages(page_categories(pages), n).select("category", "page_id", "wikitext")
+    top = recent_sources(pages, n).select("category", "page_id", "wikitext")
     lines = page_players(top.select(F.struct("category", "page_id").alias("page_id"), "wikitext"))
     lines = lines.where(F.col("mode") == "mirrors").select("page_id.category", "page_id.page_id", "line_no", host("url").alias("host"))
     mirrors = lines.groupBy("category").agg(F.countDistinct("page_id").alias("n_pages"))
