@@ -29,14 +29,17 @@ def source_totals(docs: DataFrame) -> DataFrame:
     return docs.groupBy("bucket").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
 
 
+def whole_of(totals: DataFrame) -> float:
+    return float(totals.agg(F.sum("tokens")).first()[0] or 1)
+
+
 def search_exponent(totals: DataFrame, entropy_share: float | None, repetitions: float | None) -> float:
     """The smallest exponent whose weights repeat no source more than ``repetitions`` times as often as
     the largest, or the one whose entropy is ``entropy_share`` of the greatest possible; of both, the larger.
 
     Both measures fall as the exponent grows, so an interval that holds the answer can be cut again and again.
     """
-    whole = totals.agg(F.sum("tokens").alias("whole"))
-    shares = totals.filter("tokens > 0").crossJoin(F.broadcast(whole)).select(F.log(F.col("tokens") / F.col("whole")).alias("log_share"))  # one row
+    shares = totals.filter("tokens > 0").select(F.log(F.col("tokens") / F.lit(whole_of(totals))).alias("log_share"))
 
     def search(passes: Column) -> float:
         low, high = 0.0, 1.0
@@ -81,13 +84,14 @@ def mix_sources(docs: DataFrame, repetitions: float | None = 4.0, entropy_share:
     plain = docs.select(row, bucket.alias("bucket"), u.alias("u"), token_count(text_column).alias("n_tokens"))
     totals = stage(source_totals(plain), "sources")
     exponent = search_exponent(totals, entropy_share, repetitions)
-    whole = totals.agg(F.sum("tokens").alias("whole"))
-    powers = totals.crossJoin(F.broadcast(whole)).withColumn("power", F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("whole"), F.lit(exponent))).otherwise(0.0))
-    norm = powers.agg(F.sum("power").alias("z"), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / F.col("power"))).alias("least"))
-    budget = F.lit(float(budget_tokens)) if budget_tokens is not None else F.col("least") * F.col("z")
-    weights = powers.crossJoin(F.broadcast(norm)).select(
-        "bucket", "tokens", (F.col("power") / F.col("z")).alias("weight"),
-        F.when(F.col("tokens") > 0, F.round(budget * F.col("power") / F.col("z") / F.col("tokens"), 9)).otherwise(1.0).alias("epochs"),
+    share = F.col("tokens") / F.lit(whole_of(totals))
+    powers = totals.withColumn("power", F.when(F.col("tokens") > 0, F.pow(share, F.lit(exponent))).otherwise(0.0))
+    z, least = powers.agg(F.sum("power"), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / F.col("power")))).first()
+    z, least = z or 1.0, least or 0.0
+    budget = float(budget_tokens) if budget_tokens is not None else least * z
+    weights = powers.select(
+        "bucket", "tokens", (F.col("power") / F.lit(z)).alias("weight"),
+        F.when(F.col("tokens") > 0, F.round(F.lit(budget) * F.col("power") / F.lit(z) / F.col("tokens"), 9)).otherwise(1.0).alias("epochs"),
         F.ceil(F.sqrt("documents")).alias("blocks"))
     weights = stage(weights, "weights")
     # as many blocks as documents in a block, so that neither level of the running sum gets large
