@@ -191,9 +191,10 @@ def fit(docs: DataFrame, text_column: str = "text", label_column: str = "lang",
     known = docs.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull())
     ids = known.select(F.col(id_column).alias("id"), F.col(label_column).alias("lang"))
     # the range of hashes that holds about twice as many as needed, then the first of them
+    # (a row for each language, of which the model holds a column)
     part = ids.groupBy("lang").agg((F.lit(2.0 * fit_rows) / F.count("*")).alias("part"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (ids.join(part, "lang").filter(F.xxhash64("id") / F.lit(2.0**64) + 0.5 <= F.col("part"))
+    chosen = (ids.join(F.broadcast(part), "lang").filter(F.xxhash64("id") / F.lit(2.0**64) + 0.5 <= F.col("part"))
               .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fit_rows).select("id", F.col("lang").alias("chosen")))
     # a bounded number of ids for each language
     rows = known.join(F.broadcast(chosen), (F.col(id_column) == F.col("id")) & (F.col(label_column) == F.col("chosen"))).select(
