@@ -209,7 +209,7 @@ def label_batches(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[p
         index, first = features(words)
         scores = emissions(field.weights, index, first)
         best, share = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
-        if len(scores):
+        if len(scores) and field.languages:
             p = forward_backward(scores, *sentences(words), field.start, field.change)
             total = np.concatenate((np.zeros((1, p.shape[1])), np.cumsum(p, axis=0, dtype=np.float64)))
             mass = total[words.first[1:]] - total[words.first[:-1]]

@@ -195,7 +195,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Itera
     for rows in _feature_batches(batches, lexicon):
         constant, *slope = lexicon.curve
         x = features(rows.column(1).to_numpy(), rows.column(2).to_numpy()) @ np.array(slope) + constant
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(1 / (1 + np.exp(-np.clip(x, -700, 700))))], ["row", "score"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.where(np.isneginf(x), 0.0, 1 / (1 + np.exp(-np.clip(x, -700, 700)))))], ["row", "score"])
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text_column: str = "text") -> DataFrame:
