@@ -27,8 +27,8 @@ from .words import slices
 FIT_ROWS = 8_000
 #: A lexicon entry is in this share of the toxic fit documents at least, and in so many.
 LEAST_SHARE, LEAST_DOCUMENTS = 0.008, 3
-#: Log odds that make an entry.
-LEAST_ODDS = 3.0
+#: Log odds that make an entry, and the least likelihood ratio statistic against chance.
+LEAST_ODDS, LEAST_EVIDENCE = 2.5, 16.0
 #: Lengths of word beginnings that can be entries; whole words always can.
 STEMS = range(4, 9)
 
@@ -132,6 +132,14 @@ def log_odds(toxic: int, clean: int, toxic_all: int, clean_all: int) -> float:
     return float(np.log((toxic + 0.5) / (toxic_all - toxic + 0.5)) - np.log((clean + 0.5) / (clean_all - clean + 0.5)))
 
 
+def evidence(toxic: int, clean: int, toxic_all: int, clean_all: int) -> float:
+    """Likelihood ratio statistic (G) of an entry's presence against the label."""
+    cells = np.array([[toxic, toxic_all - toxic], [clean, clean_all - clean]], dtype=float)
+    expected = cells.sum(axis=1, keepdims=True) * cells.sum(axis=0, keepdims=True) / cells.sum()
+    seen = cells > 0
+    return float(2 * (cells[seen] * np.log(cells[seen] / expected[seen])).sum())
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float, float]:
     """Logistic regression with a small ridge, by Newton's method."""
     a = np.column_stack((np.ones(len(x)), x))
@@ -171,10 +179,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         often = sample.filter("label = 1").mapInArrow(lambda it: _count_batches(it, None), schema).groupBy("entry").agg(*total).filter(F.col("toxic") >= least).collect()
         known = {r.entry for r in often}  # at most words per document / LEAST_SHARE
         seen = sample.mapInArrow(lambda it: _count_batches(it, known), schema).groupBy("entry").agg(*total).collect()
-        odds = {r.entry: log_odds(r.toxic, r.clean, toxic_all, clean_all) for r in seen}
+        odds = {r.entry: log_odds(r.toxic, r.clean, toxic_all, clean_all) for r in seen
+                if evidence(r.toxic, r.clean, toxic_all, clean_all) >= LEAST_EVIDENCE}
         entries: dict[str, float] = {}
         for entry in sorted(odds, key=lambda e: (len(e), e)):  # a longer entry adds nothing to one inside it
-            if odds[entry] >= LEAST_ODDS and not any(entry.startswith(entry[:k]) and entry[:k] in entries for k in range(1, len(entry))):
+            if odds[entry] >= LEAST_ODDS and not any(entry[:k] in entries for k in range(1, len(entry))):
                 entries[entry] = odds[entry]
         pairs = sample.mapInArrow(lambda it: _phrase_batches(it, entries), schema).groupBy("entry").agg(*total).filter("clean >= 3").collect()
         spared = {r.entry for r in pairs if log_odds(r.toxic, r.clean, toxic_all, clean_all) < 0}
