@@ -11,9 +11,11 @@ logarithm of its counter, so a passage shared by many is never among the short l
 has enough of its own.  Any ranking gives right results, as all documents use one.
 
 Documents with equal sets are one class.  Classes of one group need not all be compared with each other:
-first each member of a list is compared with its neighbour and with the list's first member; where that
-already connects a whole list, the list is done.  Only lists left with several components are merged
-in full, across components.
+first each member of a list is compared with its neighbour and with the list's first member, the one with
+the fewest rarer shingles of its own; where that already connects a whole list, the list is done.  Only
+lists left with several components are merged in full, across components.  A pair is then taken up only
+if its bitmaps allow it: each shingle flips one bit, so two sets differ in at least as many shingles as
+their bitmaps differ in bits.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ TABLE_BITS = 22
 BLOCK = 1 << 14
 #: Short lists in which a candidate must be found (s above).
 SHORT_HITS = 2
+#: Numbers of 64 bits in a bitmap.
+BITMAP = 16
 
 
 def fingerprints(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -44,18 +48,26 @@ def fingerprints(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix((total[offsets[1:]] - total[offsets[:-1]]) ^ mix(size.astype(np.uint64)))
 
 
+def bitmaps(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bitmap of each set, as rows of BITMAP numbers."""
+    sets, bits = len(offsets) - 1, 64 * BITMAP
+    owner = np.repeat(np.arange(sets), np.diff(offsets))
+    flips = np.bincount(owner * bits + (hashes % np.uint64(bits)).astype(np.int64), minlength=sets * bits)
+    return np.packbits((flips % 2).astype(bool).reshape(sets, bits), axis=1).view(np.int64)
+
+
 def member_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, class, n) and, at the end of a task, its counters by block."""
+    """Rows (doc, class, n, bitmap) and, at the end of a task, its counters by block."""
     counts = np.zeros(1 << TABLE_BITS, dtype=np.int32)
-    names = ["doc", "class", "n", "block", "counts"]
+    names = ["doc", "class", "n", "bitmap", "block", "counts"]
     for rows, texts in slices(batches):
         hashes, offsets = shingles(Words(texts, lower=True), size)
         counts += np.bincount((hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32) if len(hashes) else 0
         none = pa.nulls(len(texts), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(keys_of(rows.column(0))), pa.array(signed(fingerprints(hashes, offsets))),
-                                          pa.array(np.diff(offsets)), none, pa.nulls(len(texts), pa.binary())], names)
+                                          pa.array(np.diff(offsets)), pa.array(list(bitmaps(hashes, offsets)), pa.list_(pa.int64())), none, pa.nulls(len(texts), pa.binary())], names)
     for block in np.flatnonzero(counts.reshape(-1, BLOCK).any(axis=1)):
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.array([block], pa.int32()),
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.list_(pa.int64())), pa.array([block], pa.int32()),
                                          pa.array([counts[block * BLOCK : (block + 1) * BLOCK].tobytes()], pa.binary())], names)
 
 
@@ -71,7 +83,7 @@ def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def short_list_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int, ranks) -> Iterator[pa.RecordBatch]:
-    """The short lists of each class: (shingle, class, n); a class goes out once a task."""
+    """The short lists of each class: (shingle, class, n, place among its lists); a class goes out once a task."""
     seen: set[int] = set()
     for _, texts in slices(batches):
         hashes, offsets = shingles(Words(texts, lower=True), size)
@@ -89,8 +101,10 @@ def short_list_batches(batches: Iterator[pa.RecordBatch], size: int, percent: in
         order = np.lexsort((hashes, ranks.value[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)], owner))
         owner, hashes = owner[order], hashes[order]
         begin = np.searchsorted(owner, np.arange(len(n)))
-        mine = np.flatnonzero(np.arange(len(owner)) - begin[owner] < short[owner])
-        yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[mine])), pa.array(found[owner[mine]]), pa.array(n[owner[mine]])], ["shingle", "class", "n"])
+        place = np.arange(len(owner)) - begin[owner]
+        mine = np.flatnonzero(place < short[owner])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[mine])), pa.array(found[owner[mine]]), pa.array(n[owner[mine]].astype(np.int32)), pa.array(place[mine].astype(np.int32))],
+                                         ["shingle", "class", "n", "place"])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -127,11 +141,12 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_column:
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_column).alias("text"))
-    scanned = stage(texts.mapInArrow(lambda it: member_batches(it, size), "doc long, class long, n long, block int, counts binary"), "members")
+    scanned = stage(texts.mapInArrow(lambda it: member_batches(it, size), "doc long, class long, n long, bitmap array<long>, block int, counts binary"), "members")
     members = scanned.filter("doc IS NOT NULL").select("doc", "class", "n")
+    bitmap = scanned.filter("doc IS NOT NULL").select("class", "bitmap")
     ranks = _rank_table(scanned, spark)
-    short = texts.mapInArrow(lambda it: short_list_batches(it, size, percent, ranks), "shingle long, class long, n long")
-    ordered = Window.partitionBy("shingle").orderBy("class")
+    short = texts.mapInArrow(lambda it: short_list_batches(it, size, percent, ranks), "shingle long, class long, n int, place int")
+    ordered = Window.partitionBy("shingle").orderBy("place", "class")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lists = short.select("shingle", "class", "n", F.lag(F.struct("class", "n")).over(ordered).alias("before"),
                          F.first(F.struct("class", "n")).over(whole).alias("head")).filter("before.class != class")
@@ -147,9 +162,13 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_column:
         "shingle", "class", "n", F.coalesce("component", "class").alias("label")), "labelled")
     open_ = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter(
         "low != high AND size > 2").select("shingle")
-    rest = labelled.join(open_, "shingle")
-    other = rest.select("shingle", F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-    met = rest.join(other, "shingle").filter("class < other AND label != other_label")
+    rest = labelled.join(stage(open_, "open"), "shingle")
+    asked = bitmap.join(rest.select("class").distinct(), "class").groupBy("class").agg(F.first("bitmap").alias("bitmap"))
+    rest = stage(rest.join(asked, "class"), "rest")
+    other = rest.select("shingle", F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"), F.col("bitmap").alias("other_bitmap"))
+    apart = sum((F.bit_count(F.get("bitmap", F.lit(i)).bitwiseXOR(F.get("other_bitmap", F.lit(i)))) for i in range(BITMAP)), F.lit(0))
+    met = rest.join(other, "shingle").filter((F.col("class") < F.col("other")) & (F.col("label") != F.col("other_label"))
+                                             & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("other_n"))))
     found = (_pairs(met, percent).groupBy("a", "b", "need").agg(F.count("*").alias("hits")).filter(F.col("hits") >= F.least(F.lit(SHORT_HITS), "need"))
              .join(compared, ["a", "b"], "left_anti").select("a", "b"))
     more = stage(_verified(stage(found, "pairs"), texts, members, size, percent), "links")
