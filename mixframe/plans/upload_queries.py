@@ -107,8 +107,8 @@ def order_used_players(spark, sf):
 
 DATES = """
 dp AS (SELECT upload_id, created_at, string_split(title, ' | ')[2] AS t, upload_id % 4 AS shape FROM v_uploads),
-dy AS (SELECT *, CASE WHEN CAST(substr(t, 7, 2) AS INT) <= year(current_date) % 100 + 1 THEN '20' ELSE '19' END || substr(t, 7, 2) AS y3,
-   CASE WHEN CAST(substr(t, 1, 2) AS INT) <= year(current_date) % 100 + 1 THEN '20' ELSE '19' END || substr(t, 1, 2) AS y1 FROM dp WHERE shape = 3),
+dy AS (SELECT *, CASE WHEN CAST(substr(t, 7, 2) AS INT) <= 2026 % 100 + 1 THEN '20' ELSE '19' END || substr(t, 7, 2) AS y3,
+   CASE WHEN CAST(substr(t, 1, 2) AS INT) <= 2026 % 100 + 1 THEN '20' ELSE '19' END || substr(t, 1, 2) AS y1 FROM dp WHERE shape = 3),
 rd AS (
   SELECT upload_id, created_at, 0 AS o, 'isoFull' AS pattern, t AS iso FROM dp WHERE shape = 0
   UNION ALL SELECT upload_id, created_at, 0, 'sepY4', substr(t, 7, 4) || '-' || substr(t, 4, 2) || '-' || substr(t, 1, 2) FROM dp WHERE shape = 1
@@ -118,7 +118,7 @@ rd AS (
   UNION ALL SELECT upload_id, created_at, 1, 'sepY2', y3 || '-' || substr(t, 1, 2) || '-' || substr(t, 4, 2) FROM dy
   UNION ALL SELECT upload_id, created_at, 2, 'sepY2', y1 || '-' || substr(t, 4, 2) || '-' || substr(t, 7, 2) FROM dy),
 rs AS (SELECT *, TRY_CAST(iso AS DATE) AS d FROM rd),
-sc AS (SELECT *, abs(d - created_at) + CASE WHEN d > created_at THEN 0.5 ELSE 0 END + o * 0.001 AS s FROM rs WHERE d IS NOT NULL AND year(d) BETWEEN 1950 AND year(current_date) + 1),
+sc AS (SELECT *, abs(d - created_at) + CASE WHEN d > created_at THEN 0.5 ELSE 0 END + o * 0.001 AS s FROM rs WHERE d IS NOT NULL AND year(d) BETWEEN 1950 AND 2026 + 1),
 best AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY s, iso) AS r FROM sc),
 ru AS (SELECT b.upload_id, min(sc.s) AS runner FROM best b JOIN sc ON b.upload_id = sc.upload_id AND b.r = 1 AND sc.iso <> b.iso GROUP BY 1),
 rn AS (SELECT upload_id, count(DISTINCT iso) AS n FROM sc GROUP BY 1)
@@ -130,7 +130,7 @@ SELECT b.upload_id, iso AS date_out, pattern AS date_pattern, CAST(n AS INT) AS
   CAST(coalesce(round(runner, 3), -1) AS DOUBLE) AS date_runner_up
 FROM best b JOIN rn USING (upload_id) LEFT JOIN ru USING (upload_id) WHERE r = 1"""))
 def date_candidates(spark, sf):
-    out = U.date_candidates(V.v_uploads(spark, sf))
+    out = U.date_candidates(V.v_uploads(spark, sf), F.lit(2026))
     return out.select("upload_id", "date_out", "date_pattern", "date_readings", F.round("date_score", 3).alias("date_score"),
                       F.coalesce(F.round("date_runner_up", 3), F.lit(-1.0)).alias("date_runner_up"))
 
