@@ -20,11 +20,11 @@ def _views(then, *names):
 
 def _sources(spark, sf):
     e = V.v_episodes(spark, sf)
-    return [e.where(F.col("source") == s) for s in ("1-URGENT", "2-HIGH", "3-MEDIUM")]
+    return [e.where(F.col("source") == s) for s in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
 
 
 UNION = """
-un AS (SELECT *, CASE source WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS source_no FROM v_episodes WHERE source IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
+un AS (SELECT *, CAST(substr(source, 1, 1) AS INT) - 1 AS source_no FROM v_episodes),
 uf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_no ORDER BY source_no, entry_no) AS r FROM un) WHERE r = 1)
 """
 
@@ -45,10 +45,12 @@ ms AS (SELECT * FROM ls WHERE episode_no NOT IN (SELECT episode_no FROM pg) AND
 def _missing(spark, sf):
     e, o = V.v_episodes(spark, sf), V.read_table(spark, sf, "orders")
     listing = e.groupBy("episode_no").agg(F.min("entry_no").alias("entry_no"))
-    made = o.where("o_orderstatus = 'F' AND o_totalprice > 250000 AND o_orderpriority = '2-HIGH'")
+    # every order has a page; some of the pages are episodes
+    episode = F.expr("o_orderstatus = 'F' AND o_totalprice > 250000 AND o_orderpriority = '2-HIGH'")
+    kind = F.when(episode, " - Act - MIX Episode ").otherwise(" - Act - MIX Special ")
     named = e.where("source = '5-LOW' AND status = 'P'").select("episode_no").distinct()
     hand = named.select("episode_no", F.concat(F.lit("Spécial Show No "), F.col("episode_no").cast("string"), F.lit("!")).alias("title"))
-    pages = made.select(F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit(" - Act - MIX Episode "), (F.col("o_custkey") % 500).cast("string")).alias("title"))
+    pages = o.select(F.concat(F.col("o_orderdate").cast("date").cast("string"), kind, (F.col("o_custkey") % 500).cast("string")).alias("title"))
     pages = pages.unionByName(named.select(F.concat(F.lit("special show no "), F.col("episode_no").cast("string")).alias("title")))
     return E.missing_episodes(listing, pages, r"MIX Episode (\d+)$", hand)
 
@@ -60,17 +62,20 @@ def missing_episodes(spark, sf):
 
 @query(_views(MISSING + """,
 pr AS (SELECT * FROM (VALUES ('1-URGENT', 1), ('2-HIGH', 2)) t(source, priority)),
-ep AS (SELECT * FROM v_episodes WHERE source <> '3-MEDIUM' AND status <> 'O'),
+ep AS (SELECT * FROM v_episodes),
+mo AS (SELECT * FROM ms UNION ALL SELECT episode_no + 1000, entry_no FROM ms),
 o1 AS (SELECT * FROM (SELECT ep.*, coalesce(priority, 1000000) AS pri, row_number() OVER (PARTITION BY episode_no, ep.source ORDER BY entry_no) AS r FROM ep LEFT JOIN pr USING (source)) WHERE r = 1),
 pe AS (SELECT episode_no, string_agg(url, ' ' ORDER BY pri, url) AS urls FROM o1 GROUP BY 1),
 du AS (SELECT episode_no, arg_min(duration_s, pri * 100 + CAST(substr(source, 1, 1) AS INT)) AS duration_s FROM o1 WHERE duration_s > 0 GROUP BY 1)
 SELECT episode_no, entry_no, coalesce(urls, 'https://scraped.example/' || CAST(entry_no AS VARCHAR)) AS urls, coalesce(duration_s, -1) AS duration_s
-FROM ms LEFT JOIN pe USING (episode_no) LEFT JOIN du USING (episode_no)"""))
+FROM mo LEFT JOIN pe USING (episode_no) LEFT JOIN du USING (episode_no)"""))
 def attach_players(spark, sf):
-    missing = _missing(spark, sf).withColumn("scraped_url", F.concat(F.lit("https://scraped.example/"), F.col("entry_no").cast("string")))
+    missing = _missing(spark, sf)
+    # the same number again in a range that no platform has
+    missing = missing.unionByName(missing.withColumn("episode_no", (F.col("episode_no") + 1000).cast("int"))).withColumn("scraped_url", F.concat(F.lit("https://scraped.example/"), F.col("entry_no").cast("string")))
     e = V.v_episodes(spark, sf)
     priorities = e.where("source IN ('1-URGENT', '2-HIGH')").select("source").distinct().withColumn("priority", F.substring("source", 1, 1).cast("int"))
-    out = E.attach_players(missing, e.where("source <> '3-MEDIUM' AND status <> 'O'"), priorities)
+    out = E.attach_players(missing, e, priorities)
     return out.select("episode_no", "entry_no", F.array_join("urls", " ").alias("urls"), F.coalesce("duration_s", F.lit(-1)).alias("duration_s"))
 
 

@@ -24,10 +24,19 @@ pp AS (SELECT DISTINCT {KEY.format('player_url')} AS url_key, page_id, last_edit
   UNION SELECT DISTINCT 'soundcloud.com/acct-' || CAST(account + 1 AS VARCHAR) || '/track-' || CAST(page_id + 3 AS VARCHAR), page_id, last_edit FROM v_pages),
 pa AS (SELECT url_key, count(*) AS n_pages, max(last_edit) AS last_edit FROM pp GROUP BY 1),
 us AS (SELECT u.*, {KEY.format('player_url')} AS url_key FROM v_uploads u),
+uh AS (SELECT u.* REPLACE (CASE WHEN is_favorite THEN 'https://hearthis.at/' || CAST(upload_id AS VARCHAR) || '/' ELSE player_url END AS player_url) FROM v_uploads u),
+ut AS (SELECT uh.*, {KEY.format('player_url')} AS url_key FROM uh),
+uk AS (SELECT ut.*, coalesce(n_pages, 0) AS n_pages, last_edit FROM ut LEFT JOIN pa USING (url_key)),
 uj AS (SELECT us.*, coalesce(n_pages, 0) AS n_pages, last_edit FROM us LEFT JOIN pa USING (url_key))
 """
 
 
+def _with_second_forms(spark, sf):
+    """Favourites stand on a platform whose addresses have a second, numeric form."""
+    numeric = F.concat(F.lit("https://hearthis.at/"), F.col("upload_id").cast("string"), F.lit("/"))
+    return V.v_uploads(spark, sf).withColumn("player_url", F.when(F.col("is_favorite"), numeric).otherwise(F.col("player_url")))
+
+
 def page_players(spark, sf):
     pages = V.sql_view(spark, sf, "v_pages")
     own = pages.select(player_key("player_url").alias("url_key"), "page_id", "last_edit")
@@ -61,16 +70,16 @@ def filter_listing(spark, sf):
 
 
 @query(_views(USAGE + """SELECT upload_id, n_pages, coalesce(CAST(last_edit AS VARCHAR), '') AS last_edit,
-   CASE WHEN n_pages > 0 THEN 'used' ELSE 'unused' END AS status FROM uj""", "v_uploads", "v_pages"))
+   CASE WHEN n_pages > 0 THEN 'used' WHEN url_key LIKE 'hearthis.at/%' THEN 'unclear' ELSE 'unused' END AS status FROM uk""", "v_uploads", "v_pages"))
 def player_usage(spark, sf):
-    out = U.player_usage(V.v_uploads(spark, sf), page_players(spark, sf))
+    out = U.player_usage(_with_second_forms(spark, sf), page_players(spark, sf))
     return out.select("upload_id", "n_pages", F.coalesce(F.col("last_edit").cast("string"), F.lit("")).alias("last_edit"), "status")
 
 
-@query(_views(USAGE + """, k AS (SELECT DISTINCT url_key FROM us)
-SELECT url_key, CASE WHEN url_key IN (SELECT url_key FROM pa) THEN 'used' ELSE 'unused' END AS part FROM k""", "v_uploads", "v_pages"))
+@query(_views(USAGE + """, k AS (SELECT DISTINCT url_key FROM ut)
+SELECT url_key, CASE WHEN url_key IN (SELECT url_key FROM pa) THEN 'used' WHEN url_key LIKE 'hearthis.at/%' THEN 'unclear' ELSE 'unused' END AS part FROM k""", "v_uploads", "v_pages"))
 def partition_usage(spark, sf):
-    return U.partition_usage(V.v_uploads(spark, sf), page_players(spark, sf))
+    return U.partition_usage(_with_second_forms(spark, sf), page_players(spark, sf))
 
 
 @query(_views("""
@@ -145,8 +154,9 @@ def episodes_from_titles(spark, sf):
 
 
 @query(_views(f"""
-SELECT {KEY.format('player_url')} AS url_key, player_url, title, CAST(duration_s AS BIGINT) * 1000 AS duration_ms
-FROM v_uploads WHERE duration_s IS NOT NULL"""))
+SELECT {KEY.format('player_url')} AS url_key, player_url, CASE WHEN duration_s IS NULL THEN 'again' ELSE title END AS title,
+  CASE WHEN duration_s IS NULL THEN 1 ELSE CAST(duration_s AS BIGINT) * 1000 END AS duration_ms
+FROM v_uploads WHERE duration_s IS NOT NULL OR is_repost"""))
 def scan_uploads(spark, sf):
     """Uploads composed into nested dumps (one per upload, two levels deep), read back."""
     u = V.v_uploads(spark, sf)
@@ -155,9 +165,7 @@ def scan_uploads(spark, sf):
     dumps = u.select(F.col("upload_id").alias("ingest_no"), deep.alias("json"))
     again = u.where("is_repost").select((F.col("upload_id") + 100000000).alias("ingest_no"), F.to_json(F.array(F.struct(
         F.col("player_url").alias("url"), F.lit("again").alias("title"), F.lit(1).alias("duration")))).alias("json"))
-    known = u.where("duration_s IS NULL").select(player_key("player_url").alias("url_key"))
-    out = S.scan_uploads(dumps.unionByName(again))
-    return out.join(known, "url_key", "left_anti")
+    return S.scan_uploads(dumps.unionByName(again))
 
 
 @query(_views("""

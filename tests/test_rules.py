@@ -1,13 +1,14 @@
 """Small cases with a known answer."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from mixframe.functions import clean, cues, dates, durations, episodes, lines, text, track_text, urls
-from mixframe.operators import catalogue, detect, entities, fields, merge, ordered, uploads as upload_jobs
-from mixframe.sources import html_rows, tracklists, uploads
+from mixframe.operators import catalogue, detect, entities, episodes as episode_jobs, fields, merge, ordered, uploads as upload_jobs
+from mixframe.sources import html_rows, sinks, tracklists, uploads
 
 
 def values(spark, cases, column, kind="string"):
@@ -264,3 +265,17 @@ def test_major_labels_are_a_table(spark):
     tracks = spark.createDataFrame([("A", "T", "Small, BIG Co"), ("A", "T", "Big Co"), ("A", "T", "Small")], "artist string, title string, label string")
     out = fields.track_fields(tracks, spark.createDataFrame([("big co",)], "label string"))
     assert sorted(r.label for r in out.collect()) == ["", "Small", "Small"]
+
+
+def test_episode_keys_come_in_order(spark):
+    keys = ["b", "10", "A", "9", "a", "100", "Special 2"]
+    out = episode_jobs.order_episode_keys(spark.createDataFrame([(k,) for k in keys], "episode_key string"))
+    assert [r.episode_key for r in out.collect()] == ["9", "10", "100", "A", "a", "b", "Special 2"]
+
+
+def test_episode_map_is_written_newest_first(spark, tmp_path):
+    rows = [("a", i, f"https://x.example/{i}", i % 2) for i in range(30)] + [("b", 1, "https://x.example/b", 5)]
+    sinks.write_episode_map(spark.createDataFrame(rows, "source string, episode_no int, url string, duration_s int"), str(tmp_path / "map"))
+    files = sorted((tmp_path / "map" / "source=a").glob("part-*"))
+    numbers = [[int(json.loads(line)["entry"].split('"')[1]) for line in f.read_text().splitlines()] for f in files]
+    assert sorted(n for f in numbers for n in f) == list(range(30)) and all(f == sorted(f, reverse=True) for f in numbers)
