@@ -279,3 +279,12 @@ def test_episode_map_is_written_newest_first(spark, tmp_path):
     files = sorted((tmp_path / "map" / "source=a").glob("part-*"))
     numbers = [[int(json.loads(line)["entry"].split('"')[1]) for line in f.read_text().splitlines()] for f in files]
     assert sorted(n for f in numbers for n in f) == list(range(30)) and all(f == sorted(f, reverse=True) for f in numbers)
+
+
+def test_wrapped_lines_are_read_from_the_top(spark):
+    df = spark.createDataFrame([(1, "x y z,\n2. B,\n01. Long Name,\nb\nA - One,\nc"), (2, "a,\n\nb"), (3, "1. a,\n2. b\nend,")], "doc_id bigint, text string")
+    out = detect.join_wrapped_lines(detect.classify_lines(detect.text_lines(df)))
+    got = {}
+    for r in out.orderBy("doc_id", "line_no").collect():
+        got.setdefault(r.doc_id, []).append(r.cleaned)
+    assert got == {1: ["", "", "", "x y z, 2. B, 01. Long Name, b", "A - One,", "c"], 2: ["a,", "", "b"], 3: ["1. a,", "2. b", "end,"]}
