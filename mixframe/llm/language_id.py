@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import IS_SPACE, LOWER, Words, mix, slices
+from .words import IS_SPACE, LOWER, Words, beside_text, from_row, mix, slices
 
 #: The model is fitted on at most so many documents of each language, those with the smallest hash of their id.
 FIT_ROWS = 100
@@ -216,7 +216,7 @@ def label_batches(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[p
             best, count = mass.argmax(axis=1), np.maximum(1, np.diff(words.first))
             share = np.clip(mass[np.arange(len(mass)), best] / count, 0, 1)
         names = [field.languages[b] if ok else UNKNOWN for b, ok in zip(best, rows.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(np.where([x != UNKNOWN for x in names], share, 0.0))], ["row", "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(names, pa.string()), pa.array(np.where([x != UNKNOWN for x in names], share, 0.0))], ["row", "text", "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, field: Field, text_column: str = "text") -> DataFrame:
@@ -225,9 +225,8 @@ def identify(docs: DataFrame, field: Field, text_column: str = "text") -> DataFr
     A null text, one without a letter, and every text if no language was learned, is ``und`` with score 0.
     """
     results = ["lang_pred", "score"]
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text = F.col(text_column)
     letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)) if field.languages else F.lit(False)
-    plain = docs.select(row, text.alias("text"), letter.alias("letter"))
-    out = plain.mapInArrow(lambda it: label_batches(it, field), f"row {plain.schema['row'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in results], *results)
+    plain = beside_text(docs, text_column, letter.alias("letter"))
+    out = plain.mapInArrow(lambda it: label_batches(it, field), f"row {plain.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double")
+    return out.select(*from_row(docs, text_column, results), *results)

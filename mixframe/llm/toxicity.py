@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices
+from .words import beside_text, from_row, slices
 
 #: The classifier is fitted on at most so many labelled documents of either kind, those with the smallest
 #: hash of their id.
@@ -201,10 +201,11 @@ def features(weight: np.ndarray, rate: np.ndarray) -> np.ndarray:
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
-    for rows in _feature_batches(batches, lexicon):
-        constant, *slope = lexicon.curve
-        x = features(rows.column(1).to_numpy(), rows.column(2).to_numpy()) @ np.array(slope) + constant
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.where(np.isneginf(x), 0.0, 1 / (1 + np.exp(-np.clip(x, -700, 700)))))], ["row", "score"])
+    automaton, (constant, *slope) = lexicon.automaton(), lexicon.curve
+    for rows, texts in slices(batches, text=1):
+        found = np.array([hits(automaton, folded_words(raw.decode(errors="replace"))) for raw in texts])
+        x = features(found[:, 0], found[:, 1]) @ np.array(slope) + constant
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.where(np.isneginf(x), 0.0, 1 / (1 + np.exp(-np.clip(x, -700, 700)))))], ["row", "text", "score"])
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text_column: str = "text") -> DataFrame:
@@ -212,7 +213,6 @@ def score(docs: DataFrame, lexicon: Lexicon, text_column: str = "text") -> DataF
 
     A null or empty text has no hits and gets the score of a text without hits.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    plain = docs.select(row, F.col(text_column).alias("text"))
-    out = plain.mapInArrow(lambda it: _score_batches(it, lexicon), f"row {plain.schema['row'].dataType.simpleString()}, score double")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "score"], "score")
+    plain = beside_text(docs, text_column)
+    out = plain.mapInArrow(lambda it: _score_batches(it, lexicon), f"row {plain.schema['row'].dataType.simpleString()}, text string, score double")
+    return out.select(*from_row(docs, text_column, ["score"]), "score")

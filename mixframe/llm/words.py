@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # A word is a run of bytes outside these (space and the five ASCII control spaces).
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
@@ -140,6 +142,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_
             yield batch.slice(begin, batch.num_rows - begin), found
 
 
+def beside_text(docs: DataFrame, text_column: str, *more: Column) -> DataFrame:
+    """(row, text, ...): the other columns in one, so that each value travels once and no name can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_column]
+    return docs.select(F.struct(F.lit(True).alias("__row"), *others).alias("row"), F.col(f"`{text_column}`").alias("text"), *more)
+
+
+def from_row(docs: DataFrame, text_column: str, without: list[str]) -> list[Column]:
+    """The columns of ``docs`` again, but for those a result replaces."""
+    return [F.col("text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns if c not in without]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
