@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 
 #: Documents are worked on in slices of about this many bytes; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
