@@ -24,9 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group with a similarity of 0.8 over five-word shingles."""
-    groups = ngram_join.similar_groups(docs.select("doc_id", "text"), size=5, percent=80)
-    return docs.join(groups.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group with a similarity of 0.8 over five-word shingles: that with the smallest id, null first.
+
+    Rows are judged one by one: what shares an id with a copy, or has none, stays or goes by its own text.
+    """
+    return ngram_join.first_of_groups(docs, size=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a test item of ``benchmark``."""
-    found = decontaminate.benchmark_matches(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rejects every row whose text holds a test item of ``benchmark``, whatever its id."""
+    return decontaminate.without_matches(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import NULL_ID, SpanHash, Words, keys_of, slices
+from .words import NULL_ID, SpanHash, Words, beside_text, from_row, keys_of, slices
 
 #: Share of an item's words that may be inserted, deleted or replaced.
 EDIT_SHARE = 0.2
@@ -74,32 +74,64 @@ def myers(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def best_matches(texts: list[bytes], items: Items) -> dict[tuple[int, int], tuple[int, int]]:
+    """By item and text of a slice: distance and end of the best match."""
+    words, best = Words(texts, lower=True), {}
+    spans, tried = SpanHash(words.code), set()
+    for size, (codes, item, place, seen) in items.pieces.items():
+        here = spans.fixed(size)
+        near = np.flatnonzero(seen[(here & np.uint64(0xFFFF)).astype(np.int64)])
+        low, high = np.searchsorted(codes, here[near], "left"), np.searchsorted(codes, here[near], "right")
+        hit = np.flatnonzero(high > low)
+        text = np.searchsorted(words.first, near[hit], "right") - 1
+        for at, t, a, b in zip(near[hit].tolist(), text.tolist(), low[hit].tolist(), high[hit].tolist()):
+            tried.update((int(item[k]), t, at - int(place[k])) for k in range(a, b))
+    for i, t, start in tried:
+        errors, n, first = items.errors[i], len(items.words[i]), int(words.first[t])
+        begin, stop = max(first, start - errors), min(int(words.first[t + 1]), start + n + errors)
+        distance, end = myers(items.words[i], words.code[begin:stop])
+        if distance <= errors:
+            best[i, t] = min(best.get((i, t), (n, 0)), (distance, begin + end - first))
+    return best
+
+
 def match_batches(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     """Rows (doc, item, distance, stop): the best match of each item in each text."""
     for rows, texts in slices(batches):
-        words, doc = Words(texts, lower=True), keys_of(rows.column(0))
-        spans, tried = SpanHash(words.code), set()
-        for size, (codes, item, place, seen) in items.pieces.items():
-            here = spans.fixed(size)
-            near = np.flatnonzero(seen[(here & np.uint64(0xFFFF)).astype(np.int64)])
-            low, high = np.searchsorted(codes, here[near], "left"), np.searchsorted(codes, here[near], "right")
-            hit = np.flatnonzero(high > low)
-            text = np.searchsorted(words.first, near[hit], "right") - 1
-            for at, t, a, b in zip(near[hit].tolist(), text.tolist(), low[hit].tolist(), high[hit].tolist()):
-                tried.update((int(item[k]), t, at - int(place[k])) for k in range(a, b))
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, t, start in tried:
-            errors, n, first = items.errors[i], len(items.words[i]), int(words.first[t])
-            begin, stop = max(first, start - errors), min(int(words.first[t + 1]), start + n + errors)
-            distance, end = myers(items.words[i], words.code[begin:stop])
-            if distance <= errors:
-                best[i, t] = min(best.get((i, t), (n, 0)), (distance, begin + end - first))
-        found = sorted(best.items())
+        doc, found = keys_of(rows.column(0)), sorted(best_matches(texts, items).items())
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[[t for (_, t), _ in found]] if found else [], pa.int64()), pa.array([items.ids[i] for (i, _), _ in found], pa.int64()),
              pa.array([d for _, (d, _) in found], pa.int32()), pa.array([e for _, (_, e) in found], pa.int64())], ["doc", "item", "distance", "stop"])
 
 
+def clean_batches(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
+    """The rows (row, text) whose text holds no item."""
+    for rows, texts in slices(batches):
+        clean = np.ones(len(texts), dtype=bool)
+        clean[[t for _, t in best_matches(texts, items)]] = False
+        yield rows.filter(pa.array(clean))
+
+
+def held_items(items: DataFrame, share: float, item_column: str, item_text: str) -> Iterator[Items]:
+    """The test items cut in pieces: once, unless they are many; then in passes of bounded size."""
+    asked = items.select(F.coalesce(F.col(item_column).cast("long"), F.lit(NULL_ID)).alias("item"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
+    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = 1 + int(size) // ITEM_BYTES
+    for i in range(passes):
+        mine = asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == i).distinct().collect()
+        yield Items([(r.item, r.text.encode()) for r in mine], share)
+
+
+def without_matches(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE, text_column: str = "text",
+                    item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item, each judged by itself, whatever its id."""
+    clean = beside_text(docs, text_column)
+    schema = clean.schema
+    for held in held_items(items, share, item_column, item_text):
+        clean = clean.mapInArrow(lambda it, held=held: clean_batches(it, held), schema)
+    return clean.select(*from_row(docs, text_column, []))
+
+
 def benchmark_matches(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE, id_column: str = "doc_id", text_column: str = "text",
                       item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, distance, stop_word)`` for every document that holds a test item.
@@ -110,13 +142,8 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, share: float = EDIT_SHA
     alike and given once; null ids stay null; an empty table on either side gives no rows.
     """
     texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_column).alias("text"))
-    asked = items.select(F.coalesce(F.col(item_column).cast("long"), F.lit(NULL_ID)).alias("item"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
-    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = 1 + int(size) // ITEM_BYTES
     found = None
-    for i in range(passes):  # one, unless the test items are many
-        mine = asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == i).distinct().collect()
-        held = Items([(r.item, r.text.encode()) for r in mine], share)
+    for held in held_items(items, share, item_column, item_text):
         part = texts.mapInArrow(lambda it, held=held: match_batches(it, held), "doc long, item long, distance int, stop long")
         found = part if found is None else found.unionAll(part)
     best = found.groupBy("doc", "item").agg(F.min(F.struct("distance", "stop")).alias("best"))

@@ -57,17 +57,17 @@ def bitmaps(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def member_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, class, n, bitmap) and, at the end of a task, its counters by block."""
+    """Rows (doc, key, class, n, bitmap) and, at the end of a task, its counters by block."""
     counts = np.zeros(1 << TABLE_BITS, dtype=np.int32)
-    names = ["doc", "class", "n", "bitmap", "block", "counts"]
+    names = ["doc", "key", "class", "n", "bitmap", "block", "counts"]
     for rows, texts in slices(batches):
         hashes, offsets = shingles(Words(texts, lower=True), size)
         counts += np.bincount((hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32) if len(hashes) else 0
         none = pa.nulls(len(texts), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(keys_of(rows.column(0))), pa.array(signed(fingerprints(hashes, offsets))),
+        yield pa.RecordBatch.from_arrays([pa.array(keys_of(rows.column(0))), rows.column(2), pa.array(signed(fingerprints(hashes, offsets))),
                                           pa.array(np.diff(offsets)), pa.array(list(bitmaps(hashes, offsets)), pa.list_(pa.int64())), none, pa.nulls(len(texts), pa.binary())], names)
     for block in np.flatnonzero(counts.reshape(-1, BLOCK).any(axis=1)):
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.list_(pa.int64())), pa.array([block], pa.int32()),
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.list_(pa.int64())), pa.array([block], pa.int32()),
                                          pa.array([counts[block * BLOCK : (block + 1) * BLOCK].tobytes()], pa.binary())], names)
 
 
@@ -130,6 +130,12 @@ def probe_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _identified(id_column: str, text_column: str):
+    """Id and text of a row, and a hash of the text that tells the texts under one id apart."""
+    text = F.col(f"`{text_column}`")
+    return F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NULL_ID)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("key")
+
+
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row: groups of documents linked by similarity.
 
@@ -139,10 +145,41 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_column:
     A null id is its own value, smaller than all others; rows that repeat an id and text count as links
     of one document; other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_column).alias("text"))
-    scanned = stage(texts.mapInArrow(lambda it: member_batches(it, size), "doc long, class long, n long, bitmap array<long>, block int, counts binary"), "members")
-    members = scanned.filter("doc IS NOT NULL").select("doc", "class", "n")
+    members, classes = _grouped(docs.select(*_identified(id_column, text_column)), size, percent)
+    least = classes.groupBy("label").agg(F.min("least.doc").alias("component_id"))
+    named = classes.join(least, "label").select("class", "component_id")
+    out = members.join(named, "class", "left")
+    known = F.when(F.col("doc") != NULL_ID, F.col("doc"))
+    group = F.coalesce("component_id", "doc")
+    return out.select(known.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(group != NULL_ID, group).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for all but one of each group of ``similar_groups``: that with the smallest id.
+
+    A null id is smaller than all others; of several texts under the smallest id one stays, and so does one
+    of rows that repeat id and text.  Rows are told apart by id and text: an id that other rows share takes
+    none of them along.  Texts without words are in no group and all stay.
+    """
+    members, classes = _grouped(docs.select(*_identified(id_column, text_column)), size, percent)
+    first = classes.groupBy("label").agg(F.min("least").alias("first"))
+    named = classes.join(first, "label").select("class", "first")
+    rows = members.join(named, "class").groupBy("doc", "key", "first").agg(F.count("*").alias("copies"))
+    rows = stage(rows.withColumn("kept", F.struct("doc", "key") == F.col("first")).filter("NOT kept OR copies > 1").select("doc", "key", "kept"), "dropped")
+    doc, _, key = _identified(id_column, text_column)
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc, key)
+    out = told.join(rows.select("doc", "key"), ["doc", "key"], "left_anti").select("row")
+    repeated = rows.filter("kept").select("doc", "key")
+    if not repeated.isEmpty():
+        out = out.unionAll(told.join(repeated, ["doc", "key"]).groupBy("doc", "key").agg(F.min("row").alias("row")).select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _grouped(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, key, class, n), and each class with words: (class, least, label), its first row and its group."""
+    spark = texts.sparkSession
+    scanned = stage(texts.mapInArrow(lambda it: member_batches(it, size), "doc long, key long, class long, n long, bitmap array<long>, block int, counts binary"), "members")
+    members = scanned.filter("doc IS NOT NULL").select("doc", "key", "class", "n")
     bitmap = scanned.filter("doc IS NOT NULL").select("class", "bitmap")
     ranks = _rank_table(scanned, spark)
     short = texts.mapInArrow(lambda it: short_list_batches(it, size, percent, ranks), "shingle long, class long, n int, place int")
@@ -174,14 +211,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_column:
     more = stage(_verified(stage(found, "pairs"), texts, members, size, percent), "links")
     inside = components(links.unionByName(more))
 
-    classes = members.filter("n > 0").groupBy("class").agg(F.min("doc").alias("least")).join(inside, F.col("class") == F.col("node"), "left")
-    classes = stage(classes.select("class", "least", F.coalesce("component", "class").alias("label")), "classes")
-    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "label").select("class", "component_id")
-    out = members.join(named, "class", "left")
-    known = F.when(F.col("doc") != NULL_ID, F.col("doc"))
-    group = F.coalesce("component_id", "doc")
-    return out.select(known.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(group != NULL_ID, group).alias("component_id"))
+    classes = members.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc", "key")).alias("least")).join(inside, F.col("class") == F.col("node"), "left")
+    return members, stage(classes.select("class", "least", F.coalesce("component", "class").alias("label")), "classes")
 
 
 def _rank_table(scanned: DataFrame, spark):
@@ -204,7 +235,7 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     pairs = pairs.select("a", "b")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    asked = members.join(asked, "class").groupBy("class").agg(F.min("doc").alias("doc"))
-    sets = stage(texts.join(asked, "doc").select("doc", "text", "class").mapInArrow(lambda it: set_batches(it, size), "class long, hashes binary"), "sets")
+    asked = members.join(asked, "class").groupBy("class").agg(F.min(F.struct("doc", "key")).alias("one")).select("class", "one.*")
+    sets = stage(texts.join(asked, ["doc", "key"]).select("doc", "text", "class").mapInArrow(lambda it: set_batches(it, size), "class long, hashes binary"), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(lambda it: probe_batches(it, percent), "a long, b long").distinct()

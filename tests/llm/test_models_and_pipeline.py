@@ -199,3 +199,22 @@ def test_pipeline(spark):
             del texts[i]
     assert {i: r.text for i, r in kept.items()} == texts
     assert all(r.n_chars == len(r.text) and r.copies >= 1 for r in kept.values())
+
+
+def test_stages_judge_rows_one_by_one(spark, tmp_path):
+    same = " ".join(f"w{i}" for i in range(60))
+    item = " ".join(f"q{i}" for i in range(20))
+    other = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(None, same, "s"), (None, same, "s"), (None, same + " x", "s"), (5, same, "s"), (7, same + " y", "s"), (5, other[0], "s"),
+            (None, other[1], "s"), (None, "", "s"), (None, None, "s"), (8, other[2], "t"), (8, other[2], "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df, str(tmp_path)).collect()]
+    copies = [r for r in kept if r[1] and r[1].startswith(same)]
+    assert len(copies) == 1 and copies[0][0] is None
+    assert sorted((r for r in kept if r not in copies), key=str) == sorted(
+        [(5, other[0], "s"), (None, other[1], "s"), (None, "", "s"), (None, None, "s"), (8, other[2], "s")], key=str)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "before " + item, "s"), (None, other[0], "s"), (3, item, "s"), (3, other[1], "s"), (4, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
