@@ -82,9 +82,9 @@ def unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tile_links(table: pa.Table, threshold: float, first_window: int, window: int, misses: int) -> pa.Table:
-    """Links found between two slabs (or inside one): (id, links, root) of every vector that has one."""
+    """Links found between two slabs (or inside one): (class, links, root) of every class that has one."""
     side = table["side"].to_numpy()
-    dims, ids, copies = table["dim"].to_numpy(), table["id"].to_numpy(), table["copies"].to_numpy()
+    dims, ids, copies = table["dim"].to_numpy(), table["class"].to_numpy(), table["copies"].to_numpy()
     found: list[np.ndarray] = []
     for dim in np.unique(dims):
         here = np.flatnonzero(dims == dim)
@@ -132,7 +132,7 @@ def tile_links(table: pa.Table, threshold: float, first_window: int, window: int
         if (root == before).all():
             break
     some = np.flatnonzero(links > 0)
-    return pa.table({"id": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
+    return pa.table({"class": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
 
 
 def near_groups(vectors: DataFrame, threshold: float = 0.9, recall: float = RECALL, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -148,7 +148,8 @@ def near_groups(vectors: DataFrame, threshold: float = 0.9, recall: float = RECA
     plain = vectors.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     units = plain.mapInArrow(unit_batches, "id long, dim long, first int, places binary, unit binary").withColumn("key", F.md5("unit"))
     classes = units.filter("unit IS NOT NULL").groupBy("key", "dim", "first").agg(F.min(F.struct("id", "places", "unit")).alias("one"), F.count("*").alias("copies"))
-    classes = stage(classes.select("key", "dim", "first", "copies", "one.*"), "classes")
+    # equal vectors are one class, named by a number of its own: ids may be shared or null
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("class"), "key", "dim", "first", "copies", "one.*"), "classes")
     n = classes.count()
     slabs = 1 + n // SLAB_ROWS
     dealt = stage(classes.repartitionByRange(slabs, "first", "id").withColumn("slab", F.spark_partition_id()), "slabs")
@@ -159,13 +160,16 @@ def near_groups(vectors: DataFrame, threshold: float = 0.9, recall: float = RECA
     meet += [(b, a, b, 1) for _, a, b, _ in meet if a != b]
     tiles = dealt.join(spark.createDataFrame(meet, "slab int, a int, b int, side int"), "slab")
     misses = allowed_misses(recall)
-    found = tiles.select("a", "b", "side", "id", "dim", "copies", "places", "unit").groupBy("a", "b").applyInArrow(
-        lambda t: tile_links(t, threshold, first_window, window, misses), "id long, links long, root long")
+    found = tiles.select("a", "b", "side", "class", "dim", "copies", "places", "unit").groupBy("a", "b").applyInArrow(
+        lambda t: tile_links(t, threshold, first_window, window, misses), "class long, links long, root long")
     found = stage(found, "found")
-    inside = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = (classes.select("key", "id", "copies").join(links, "id", "left").join(inside, F.col("id") == F.col("node"), "left")
-             .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
+    inside = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    named = (classes.select("class", "key", "id", "copies").join(links, "class", "left").join(inside, F.col("class") == F.col("node"), "left")
+             .select("key", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class").alias("label")))
+    named = stage(named, "named")
+    least = named.groupBy("label").agg(F.min("id").alias("component"))
+    named = named.join(least, "label").select("key", "n_links", "component")
     out = units.select("id", "key").join(named, "key", "left")
     known = lambda c: F.when(c != NULL_ID, c)
     component = F.coalesce("component", "id")

@@ -98,3 +98,21 @@ def test_odd_rows(spark, job):
     assert out[None, "k"].n_removed == 0 and out[None, None].n_removed == 0 and out[2, "b"].text == ""
     assert out[1, "a"].n_removed > 0 and out[3, "c"].text.strip() == "z" and out[3, "c"].spans == "x"
     assert job(df).count() == 6 and job(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("job", [substring_dedup.drop_repeated_windows, suffix_array_dedup.drop_repeated_bytes])
+def test_texts_without_an_id_are_kept_apart(spark, job):
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(None, " ".join(f"{i}a{rng.randrange(10**6)}" for _ in range(70)), i) for i in range(3000)]
+    rows += [(-5, " ".join(["head", *passage]), 3000)] + [(1, " ".join([*(f"{i}b{k}" for k in range(rng.randint(0, 60))), *passage]), i) for i in range(3001, 4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    got = {r.n: r.text.split() for r in job(df).collect()}
+    assert len(got) == len(rows)
+    for doc, text, n in rows:
+        words = text.split()
+        if doc != 1:
+            assert got[n] == words
+        else:  # bytes in front of the passage may repeat with it
+            own = len(words) - 60
+            assert len(got[n]) <= own and got[n][: max(0, own - 1)] == words[: max(0, own - 1)]

@@ -214,3 +214,11 @@ def test_embeddings_odd_rows(spark):
     alone = [(str(i), 0, str(i), True) for i in (3, 4, 5, 6, 7, 8, 10)]
     assert out == sorted([("None", 3, "None", True), ("2", 3, "None", False), ("2", 3, "None", False), ("9", 3, "None", False), *alone])
     assert embedding_dedup.near_groups(df.limit(0)).count() == 0
+
+
+def test_embeddings_without_an_id_are_kept_apart(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(None, a), (None, b), (3, a), (4, b), (4, [0.0, 1.0, 0.01, 0.0]), (5, [0.0, 0.0, 1.0, 0.0])]
+    out = embedding_dedup.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((str(r.vec_id), r.n_links, str(r.component_id)) for r in out)) == sorted(
+        [("None", 1, "None"), ("None", 2, "None"), ("3", 1, "None"), ("4", 2, "None"), ("4", 2, "None"), ("5", 0, "5")])
