@@ -100,9 +100,13 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["page_id", "_host", "block", "kind", "row", "cell", "class", "text"])
 
 
+def _host():
+    """The host of a page; '' where its address is null or has none, so that rules for every page reach it."""
+    return F.coalesce(F.regexp_extract("url", "://([^/]+)", 1), F.lit("")).alias("_host")
+
+
 def html_cells(pages: DataFrame) -> DataFrame:
-    host = F.regexp_extract("url", "://([^/]+)", 1).alias("_host")
-    return pages.select("page_id", host, "html").mapInPandas(_cells, CELL_SCHEMA)
+    return pages.select("page_id", _host(), "html").mapInPandas(_cells, CELL_SCHEMA)
 
 
 def scan_html_rows(pages: DataFrame, site_spec: DataFrame) -> DataFrame:
@@ -113,7 +117,7 @@ def scan_html_rows(pages: DataFrame, site_spec: DataFrame) -> DataFrame:
     """
     cells = html_cells(pages)
     # the rules of each host and kind first: one short list, joined on both
-    hosts = pages.select(F.regexp_extract("url", "://([^/]+)", 1).alias("_host")).distinct()
+    hosts = pages.select(_host()).distinct()
     own = site_spec.where("host != '*'").join(hosts, F.col("host") == F.col("_host"))
     common = hosts.join(site_spec.where("host = '*'").agg(F.collect_list(F.struct("kind", "role", "class_pattern", "cell")).alias("_all")))
     rules = own.select("_host", "kind", "role", "class_pattern", "cell").unionByName(common.select("_host", F.inline("_all")))

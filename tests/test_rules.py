@@ -253,6 +253,14 @@ def test_crawled_cells_keep_class_and_block(spark):
     assert [r.text for r in out] == [f"Act{i} - T{i}" for i in range(9)]
 
 
+def test_pages_without_an_address_follow_the_rules_for_every_page(spark):
+    html = "<table>" + "".join(f"<tr><td>Act{i}</td><td>T{i}</td></tr>" for i in range(9)) + "</table>"
+    pages = spark.createDataFrame([(1, None, html), (2, "no address", html), (3, "https://h.example/p", html)], "page_id long, url string, html string")
+    spec = spark.createDataFrame([("*", "table", "artist", None, 0), ("*", "table", "title", None, 1)], "host string, kind string, role string, class_pattern string, cell int")
+    out = html_rows.scan_html_rows(pages, spec).collect()
+    assert sorted((r.page_id, r.pos, r.text) for r in out) == [(p, i + 1, f"Act{i} - T{i}") for p in (1, 2, 3) for i in range(9)]
+
+
 def test_video_titles_and_search_keys(spark):
     cases = {"Act - Song (Official Video) [HD]": "Act - Song", "PREMIERE: Act - Song [Label] [CAT001]": "Act - Song", "Act | Song_mix.mp4": "Act - Song mix",
              "[2019] Act - Song": "Act - Song", "Act - Song (2019)": "Act - Song", "Act -- Song 1080p": "Act - Song"}
