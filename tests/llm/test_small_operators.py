@@ -183,6 +183,20 @@ def test_mixing_odd_rows(spark):
     assert source_mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark, caplog):
+    passage = "北京是中华人民共和国的首都也是全国的政治中心文化中心和国际交往中心"
+    thai = "กรุงเทพมหานครเป็นเมืองหลวงและนครที่มีประชากรมากที่สุดของประเทศไทย"
+    items = [(1, "photosynthesis converts sunlight"), (2, passage), (3, thai), (4, "yes no"), (5, "two long words elsewhere")]
+    docs = [(1, "we know that Photosynthesis\nconverts sunlight well"), (2, "前文很长" * 9 + passage + "后文" * 7), (3, "ก" * 40 + thai[:20] + "x" + thai[21:]),
+            (4, "a yes no b"), (5, "photosynthesis turns sunlight"), (6, "前文很长" * 30), (7, "x y " + passage[:10] + "\n" + passage[10:] + " z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.stop_word) for r in decontaminate.benchmark_matches(df, asked).collect())
+    assert got == [(1, 1, 0, 6), (2, 2, 0, 1), (3, 3, 1, 1), (7, 2, 0, 4)]
+    assert "['4']" in caplog.text
+    assert sorted(r.doc_id for r in decontaminate.without_matches(df, asked).collect()) == [4, 5, 6]
+
+
 # --- embeddings
 
 def clusters(seed, n=900, dim=24):
