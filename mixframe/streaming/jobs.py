@@ -115,12 +115,67 @@ def stream_ttl_lookup(stream: DataFrame, delay: str, ttl: tuple[int, int] = NAME
             .transformWithStateInPandas(_Remembered(ttl), "key STRING, ts TIMESTAMP, kind STRING, answer STRING", "Append", "eventTime"))
 
 
+class _Newest(StatefulProcessor):
+    """Per key: answers whose window is still open, and the newest generation of the windows that have closed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ended BIGINT, started BIGINT, generation BIGINT, value STRING")
+        self.newest = handle.getValueState("newest", "generation BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            mine = [(int(e), int(s), int(g), None if pd.isna(v) else str(v))
+                    for e, s, g, v in zip(pdf["ended"], pdf["started"], pdf["generation"], pdf["value"]) if e // 1000 > now]
+            if mine:
+                self.waiting.appendList(mine)
+                for ended in sorted({r[0] for r in mine}):
+                    self.handle.registerTimer(-(-ended // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        newest = self.newest.get()[0] if self.newest.exists() else NO_GENERATION
+        out, rest = [], []
+        closed: dict[int, list] = {}
+        for row in self.waiting.get():
+            if row[0] <= due:
+                closed.setdefault(row[0], []).append(row)
+            else:
+                rest.append(tuple(row))
+        for ended in sorted(closed):
+            newest = max(newest, max(r[2] for r in closed[ended]))
+            out += sorted(((r[1], r[2], r[3]) for r in closed[ended] if r[2] == newest), key=lambda r: (r[2] is None, r[2] or ""))
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        self.newest.update((newest,))
+        if out:
+            yield pd.DataFrame({"key": pd.Series([key[0]] * len(out), dtype="object"), "started": pd.to_datetime([r[0] for r in out], unit="us"),
+                                "generation": [r[1] for r in out], "value": pd.Series([r[2] for r in out], dtype="object")})
+
+    def close(self) -> None:
+        pass
+
+
+#: Stands for a null generation inside the job; older than all others.
+NO_GENERATION = -(1 << 63)
+
+
 def stream_latest(stream: DataFrame, delay: str, window: str) -> DataFrame:
-    """``(key, generation, value)``: per key and window of event time, the answers of its newest generation.
+    """``(key, started, generation, value)``: the answers that no newer generation of their key supersedes.
 
-    An answer for a generation that is superseded inside the window is dropped, whatever order the two
-    arrive in; the window comes out once the watermark has passed it.
+    A window of event time is settled once the watermark has passed it: all its answers of the newest
+    generation so far, in this window or an earlier one, come out; the others are dropped, whatever order
+    they arrive in.  The newest generation of a key is kept for good.  A null generation is the oldest.
     """
-    top = F.max(F.struct("generation", "value")).alias("top")
-    windows = stream.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "key").agg(top)
-    return windows.select("key", F.col("w.start").alias("started"), "top.generation", "top.value")
+    w = F.window("ts", window)
+    rows = stream.select("key", "ts", F.unix_micros(w.start).alias("started"), F.unix_micros(w.end).alias("ended"),
+                         F.coalesce(F.col("generation").cast("long"), F.lit(NO_GENERATION)).alias("generation"), F.col("value").cast("string").alias("value"))
+    out = rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(
+        _Newest(), f"key {stream.schema['key'].dataType.simpleString()}, started TIMESTAMP, generation BIGINT, value STRING", "Append", "eventTime")
+    kinds = {c: stream.schema[c].dataType for c in ("generation", "value")}
+    return out.select("key", "started", F.when(F.col("generation") != NO_GENERATION, F.col("generation")).cast(kinds["generation"]).alias("generation"),
+                      F.col("value").cast(kinds["value"]).alias("value"))

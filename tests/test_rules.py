@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from mixframe.functions import clean, cues, dates, durations, episodes, lines, text, track_text, urls
 from mixframe.operators import catalogue, detect, entities, episodes as episode_jobs, fields, merge, ordered, uploads as upload_jobs
+from mixframe.plans.stream_queries import run
 from mixframe.sources import html_rows, sinks, tracklists, uploads
+from mixframe.streaming import jobs
 
 
 def values(spark, cases, column, kind="string"):
@@ -296,3 +298,15 @@ def test_wrapped_lines_are_read_from_the_top(spark):
     for r in out.orderBy("doc_id", "line_no").collect():
         got.setdefault(r.doc_id, []).append(r.cleaned)
     assert got == {1: ["", "", "", "x y z, 2. B, 01. Long Name, b", "A - One,", "c"], 2: ["a,", "", "b"], 3: ["1. a,", "2. b", "end,"]}
+
+
+def test_stream_latest_keeps_all_answers_of_the_newest_generation(spark, tmp_path):
+    rows = [("k", "2024-01-01 01:00:00", 5, "b"), ("k", "2024-01-01 02:00:00", 5, "a"), ("k", "2024-01-01 03:00:00", 4, "z"),
+            ("k", "2024-01-02 01:00:00", 3, "old"), ("k", "2024-01-03 01:00:00", 6, "new"), ("m", "2024-01-02 01:00:00", None, "only"),
+            ("k", "2024-01-09 00:00:00", 9, "open")]
+    feed = spark.createDataFrame(rows, "key string, ts string, generation long, value string").withColumn("ts", F.col("ts").cast("timestamp"))
+    feed.coalesce(1).write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema(feed.schema).parquet(str(tmp_path / "feed"))
+    out = run(jobs.stream_latest(stream, "1 hour", "1 day"))
+    assert sorted((r.key, r.started.day, r.generation, r.value) for r in out.collect()) == [
+        ("k", 1, 5, "a"), ("k", 1, 5, "b"), ("k", 3, 6, "new"), ("m", 2, None, "only")]
