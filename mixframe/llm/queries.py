@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..plans.registry import Registry
-from ..session import read_table
-from . import (chat_format, decontaminate, embedding_dedup, language_id, ngram_join, source_mixing, substring_dedup,
-               suffix_array_dedup, toxicity, url_filter)
+from ..session import read_table, stage
+from . import (chat_format, decontaminate, embedding_dedup, language_id, ngram_join, prefix_trie, quality, source_mixing, spelling_variants,
+               substring_dedup, suffix_array_dedup, toxicity, url_filter)
 
 query = Registry()
 
 ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+# CRC-32 as SQL: the table of the reflected polynomial, then one step per byte of the UTF-8 text.
+CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc_sql(text: str) -> str:
+    """The unsigned checksum of a not empty SQL text, in a query that has ``crc_table``."""
+    octets = f"list_transform(range(1, 1 + 2 * octet_length(encode({text})), 2), lambda j: ('0x' || hex(encode({text}))[j:j + 1])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
 def _held_out(modulus: int, rest: int):
-    return F.crc32(F.col("doc_id").cast("string")) % modulus == rest
+    """Whether a row is kept from learning; one without an id is not, as it has no label either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
 
 
 @query(f"""
@@ -118,6 +129,57 @@ def op10_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query()
+def op11_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", _held_out(5, 0))
+    model = quality.fit(docs.filter(~F.col("held_out")), read_table(spark, sf, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query(f"""
+WITH {CRC_TABLE},
+numbered AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS source, {_crc_sql("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM numbered), crc_table),
+rebuilt AS (SELECT c.conv_id, pos, role, text FROM convs c JOIN numbered n ON n.conv_id = c.source AND pos <= h
+  UNION ALL SELECT c.conv_id, pos, role, text FROM convs c JOIN numbered n ON n.conv_id = c.conv_id AND pos > h),
+seqs AS (SELECT conv_id, coalesce(s, []) AS s FROM convs LEFT JOIN (SELECT conv_id, list(md5(role || chr(0) || text) || ':' || length(text) ORDER BY pos) AS s FROM rebuilt GROUP BY conv_id) USING (conv_id)),
+begins AS (SELECT conv_id, len(s) AS size, unnest(list_transform(range(0, len(s) + 1), lambda d: {{'depth': d, 'node': array_to_string(s[:d], ' '), 'parent': array_to_string(s[:d - 1], ' '),
+  'chars': CASE WHEN d = 0 THEN 0 ELSE split_part(s[d], ':', 2)::BIGINT END}})) AS b FROM seqs),
+nodes AS (SELECT b.node AS node, b.depth AS depth, CASE WHEN b.depth > 0 THEN b.parent END AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(b.chars) AS own,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = b.depth), '') AS ended FROM begins GROUP BY ALL),
+family AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT DISTINCT up.b.node AS node, low.b.node AS under FROM begins up JOIN begins low ON up.conv_id = low.conv_id AND low.b.depth >= up.b.depth),
+sums AS (SELECT b.node, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves FROM below b JOIN nodes n ON n.node = b.under LEFT JOIN family f ON f.node = b.under GROUP BY b.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, sha256(n.ended) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN family f ON f.node = n.node JOIN sums s ON s.node = n.node
+""")
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns = stage(prefix_trie.encoded(read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")), "encoded-turns")
+    convs = turns.filter("pos = 1").select("conv_id")
+    conv = F.col("conv_id")
+    rebuilt = prefix_trie.with_heads(turns, convs, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, 5)
+    return prefix_trie.prefix_trie(rebuilt, convs)
+
+
+@query(f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({ASCII_LOWER.replace("text", "array_to_string(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'), ' ')")}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs GROUP BY ALL),
+sums AS (SELECT run, n, {_crc_sql("(id || ':' || run)")} AS h FROM counted, crc_table),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n FROM sums GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+lacking AS (SELECT word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: {{'i': i, 'rest': word[:i - 1] || word[i + 1:]}})) AS l FROM words),
+edits AS (SELECT x.word, y.word AS near FROM lacking x JOIN lacking y ON x.l = y.l AND x.word <> y.word
+  UNION SELECT l.word, w.word FROM lacking l JOIN words w ON w.word = l.l.rest UNION SELECT w.word, l.word FROM lacking l JOIN words w ON w.word = l.l.rest),
+best AS (SELECT e.word, count(*) AS n_near, first(near ORDER BY y.n DESC, near) AS near, max(y.n) AS near_n FROM edits e JOIN words y ON y.word = e.near GROUP BY e.word),
+forms AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM forms f JOIN walk w ON w.word = f.word JOIN forms e ON e.word = w.at AND e.form IS NULL
+""")
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants.spelling_variants(read_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
