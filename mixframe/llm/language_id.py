@@ -14,17 +14,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import bounded_sample
 from .words import IS_SPACE, LOWER, Words, beside_text, from_row, mix, slices
 
-#: The model is fitted on at most so many documents of each language, those with the smallest hash of their id.
+#: The model is fitted on at most so many documents of each language, those with the smallest hash of id and text.
 FIT_ROWS = 100
 #: Weights are kept for 2**TABLE_BITS hashed features.
 TABLE_BITS = 17
-#: A sentence ends with one of these bytes, or after so many words.
-SENTENCE_ENDS, SENTENCE_WORDS = b".!?", 128
+#: A sentence ends with one of these bytes.
+SENTENCE_ENDS = b".!?"
+#: Long sentences are worked on in pieces of so many words side by side.  It changes the speed only.
+PIECE = 128
 PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 UNKNOWN = "und"
@@ -84,14 +87,18 @@ def emissions(field_weights: np.ndarray, index: np.ndarray, first: np.ndarray) -
     return np.add.reduceat(field_weights[index], first, axis=0)
 
 
-def forward_backward(scores: np.ndarray, first: np.ndarray, size: np.ndarray, start: np.ndarray, change: np.ndarray, pairs: bool = False):
+def forward_backward(scores: np.ndarray, first: np.ndarray, size: np.ndarray, start: np.ndarray, change: np.ndarray, pairs: bool = False,
+                     enter: np.ndarray | None = None, leave: np.ndarray | None = None):
     """Probabilities of the labels at each position of each sequence (positions ``first`` .. ``first + size``).
 
     Sequences run side by side, the longest first, so that the ones still open are always the first ones.
+    ``enter`` and ``leave`` are the messages from before and behind each sequence, where it is a piece of a longer one.
     ``pairs``: also the expected number of each transition.
     """
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
+    enter = None if enter is None else enter[order]
+    leave = None if leave is None else leave[order]
     steps = int(size[0]) if len(size) else 0
     local = np.exp(scores - scores.max(axis=1, keepdims=True))
     a, s = np.exp(change).astype(local.dtype), np.exp(start).astype(local.dtype)
@@ -99,13 +106,13 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, size: np.ndarray, st
     open_ = [int(np.searchsorted(-size, -t, "left")) for t in range(steps)]  # sequences longer than t
     for t in range(steps):
         at = first[: open_[t]] + t
-        x = local[at] * (s if t == 0 else ahead[at - 1] @ a)
+        x = local[at] * (ahead[at - 1] @ a if t else s if enter is None else enter)
         ahead[at] = x / x.sum(axis=1, keepdims=True)
     moves = np.zeros_like(a)
     for t in range(steps - 1, -1, -1):
         at = first[: open_[t]] + t
         more = open_[t + 1] if t + 1 < steps else 0
-        behind[at[more:]] = 1
+        behind[at[more:]] = 1 if leave is None else leave[more : open_[t]]
         if more:
             right = local[at[:more] + 1] * behind[at[:more] + 1]
             x = right @ a.T
@@ -118,6 +125,40 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, size: np.ndarray, st
     return (out, moves) if pairs else out
 
 
+def whole_sequences(scores: np.ndarray, first: np.ndarray, size: np.ndarray, start: np.ndarray, change: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """``forward_backward`` for sequences of any length, worked on in pieces side by side; the result is the same.
+
+    What a piece does to a message is a matrix over the labels.  With these the messages are carried from piece to
+    piece over the whole sequence, and then each piece runs with the messages that enter it from both sides.
+    """
+    count = -(-size // piece)
+    if not len(size) or count.max() == 1:
+        return forward_backward(scores, first, size, start, change)
+    of = np.repeat(np.arange(len(size)), count)
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    begin, length = first[of] + rank * piece, np.minimum(piece, size[of] - rank * piece)
+    k = len(start)
+    local = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64)
+    a, s = np.exp(change), np.exp(start)
+    through = np.zeros((len(of), k, k))
+    long = np.flatnonzero(count[of] > 1)
+    for t in range(piece):
+        mine = long[length[long] > t]
+        here = local[begin[mine] + t]
+        through[mine] = (np.eye(k) if t == 0 else through[mine] @ a) * here[:, None, :]
+        through[mine] /= through[mine].max(axis=(1, 2), keepdims=True)
+    enter, leave = np.tile(s, (len(of), 1)), np.ones((len(of), k))
+    head = np.cumsum(count) - count
+    for r in range(1, int(count.max())):
+        ahead = head[count > r] + r
+        x = np.einsum("ni,nij->nj", enter[ahead - 1], through[ahead - 1]) @ a
+        enter[ahead] = x / x.max(axis=1, keepdims=True)
+        last = head[count > r] + count[count > r] - 1 - r
+        x = np.einsum("nij,nj->ni", through[last + 1], leave[last + 1]) @ a.T
+        leave[last] = x / x.max(axis=1, keepdims=True)
+    return forward_backward(scores, begin, length, start, change, enter=enter.astype(scores.dtype), leave=leave.astype(scores.dtype))
+
+
 def sentences(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """First word and number of words of each sentence; sentences do not cross texts."""
     n = len(words.start)
@@ -128,9 +169,6 @@ def sentences(words: Words) -> tuple[np.ndarray, np.ndarray]:
     head[words.first] = True
     head[1:] |= ends
     begin = np.flatnonzero(head[:n])
-    within = np.arange(n) - np.repeat(begin, np.diff(begin, append=n))
-    head[:n] |= within % SENTENCE_WORDS == 0
-    begin = np.flatnonzero(head[:n])
     return begin, np.diff(begin, append=n)
 
 
@@ -187,19 +225,13 @@ def train(texts: list[bytes], languages: list[str], rounds: int = 8, lanes: int
 
 
 def fit(docs: DataFrame, text_column: str = "text", label_column: str = "lang", id_column: str = "doc_id", fit_rows: int = FIT_ROWS) -> Field:
-    """Fit on ``fit_rows`` documents of each language; null texts and languages are left out."""
-    known = docs.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull())
-    ids = known.select(F.col(id_column).alias("id"), F.col(label_column).alias("lang"))
-    # the range of hashes that holds about twice as many as needed, then the first of them
-    # (a row for each language, of which the model holds a column)
-    part = ids.groupBy("lang").agg((F.lit(2.0 * fit_rows) / F.count("*")).alias("part"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (ids.join(F.broadcast(part), "lang").filter(F.xxhash64("id") / F.lit(2.0**64) + 0.5 <= F.col("part"))
-              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fit_rows).select("id", F.col("lang").alias("chosen")))
-    # a bounded number of ids for each language
-    rows = known.join(F.broadcast(chosen), (F.col(id_column) == F.col("id")) & (F.col(label_column) == F.col("chosen"))).select(
-        text_column, label_column).toDF("text", "lang").orderBy(F.xxhash64("text"), "text", "lang").collect()
-    return train([r.text.encode() for r in rows], [r.lang for r in rows])
+    """Fit on ``fit_rows`` documents of each language; null texts and languages are left out.
+
+    Documents are drawn by a hash of id and text, so shared or null ids change nothing.
+    """
+    known = docs.filter(F.col(f"`{text_column}`").isNotNull())
+    rows = bounded_sample(known, fit_rows, id_column, text_column, kind=F.col(f"`{label_column}`")).orderBy(F.xxhash64("text"), "text", "kind").collect()
+    return train([r.text.encode() for r in rows], [r.kind for r in rows])
 
 
 def label_batches(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
@@ -210,7 +242,7 @@ def label_batches(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[p
         scores = emissions(field.weights, index, first)
         best, share = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
         if len(scores) and field.languages:
-            p = forward_backward(scores, *sentences(words), field.start, field.change)
+            p = whole_sequences(scores, *sentences(words), field.start, field.change)
             total = np.concatenate((np.zeros((1, p.shape[1])), np.cumsum(p, axis=0, dtype=np.float64)))
             mass = total[words.first[1:]] - total[words.first[:-1]]
             best, count = mass.argmax(axis=1), np.maximum(1, np.diff(words.first))

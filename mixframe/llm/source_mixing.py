@@ -80,7 +80,7 @@ def mix_sources(docs: DataFrame, repetitions: float | None = 4.0, entropy_share:
     results = ["n_tokens", "weight", "epochs", "copies", "position"]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in results]).alias("row")
     bucket = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_column}`").cast("string")), F.lit(""))
-    u = F.xxhash64(F.col(f"`{id_column}`"), F.lit(seed))
+    u = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"), F.lit(seed))  # rows that share an id part by their texts
     plain = docs.select(row, bucket.alias("bucket"), u.alias("u"), token_count(text_column).alias("n_tokens"))
     totals = stage(source_totals(plain), "sources")
     exponent = search_exponent(totals, entropy_share, repetitions)

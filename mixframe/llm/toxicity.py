@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import bounded_sample
 from .words import beside_text, from_row, slices
 
 #: The classifier is fitted on at most so many labelled documents of either kind, those with the smallest
-#: hash of their id.
+#: hash of id and text.
 FIT_ROWS = 8_000
 #: A lexicon entry is in this share of the toxic fit documents at least, and in so many.
 LEAST_SHARE, LEAST_DOCUMENTS = 0.008, 3
@@ -86,7 +87,16 @@ def hits(automaton, words: list[str]) -> tuple[float, float]:
     found, spared = [], []
     for end, (size, weight) in automaton.iter(" " + " ".join(words) + " "):
         (spared if weight is None else found).append((end - size + 1, end, weight))
-    total = sum(w for a, b, w in found if not any(x <= a and b <= y for x, y, _ in spared))
+    # an entry is spared if the phrase that reaches farthest of those beginning at or before it covers it
+    found.sort(key=lambda hit: hit[0])
+    spared.sort(key=lambda hit: hit[0])
+    total, reach, k = 0.0, -1, 0
+    for begin, end, weight in found:
+        while k < len(spared) and spared[k][0] <= begin:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if end > reach:
+            total += weight
     return total, total / len(words)
 
 
@@ -161,14 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     Without documents of both kinds the lexicon is empty and every score 0.  ``exceptions`` are phrases
     that never count, besides the learned ones: word pairs around an entry seen more in clean documents.
     """
-    labels = labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("doc")).agg(
-        F.max((F.col(label_column) > 0).cast("int")).alias("label"))
-    chosen = None
-    for kind in (0, 1):
-        part = labels.filter(F.col("label") == kind).orderBy(F.xxhash64("doc"), "doc").limit(fit_rows)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    # at most 2 * fit_rows narrow rows
-    sample = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "doc").select("label", "text").persist()
+    labels = labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(
+        F.max((F.col(label_column) > 0).cast("int")).alias("kind"))
+    sample = bounded_sample(docs, fit_rows, id_column, text_column, labels=labels).select(F.col("kind").alias("label"), "text").persist()
     try:
         size = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
         toxic_all, clean_all = size.get(1, 0), size.get(0, 0)
