@@ -16,11 +16,22 @@ from mixframe.session import read_table, stage
 TOXIC = 0.7
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): the other columns in one, so that no column of an operator replaces one of the user's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("__row"), *others).alias("row"))
+
+
+def unpacked(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, with the texts of ``out``."""
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects toxic documents; labels are learned from two thirds of the ids, as in op8."""
     learned = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     lexicon = toxicity.fit(learned, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, lexicon).filter(F.col("score") < TOXIC).select(docs.columns)
+    return unpacked(toxicity.score(packed(docs), lexicon).filter(F.col("score") < TOXIC), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +44,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes what occurs earlier, 100 bytes or more at a time; a text of which nothing is left goes, a null text becomes an empty one."""
-    cut = suffix_array_dedup.drop_repeated_bytes(docs)
-    cut = cut.filter("n_removed = 0 OR n_removed < n_bytes")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    cut = suffix_array_dedup.drop_repeated_bytes(packed(docs)).filter("n_removed = 0 OR n_removed < n_bytes")
+    out = unpacked(cut, docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
