@@ -1,12 +1,13 @@
 """The blocked plan must give what the plain window plan gives, on lists of any length."""
 
+import itertools
 import random
 
 import pytest
 
 from pyspark.sql import functions as F
 
-from mixframe.operators import cue_jobs, match, ordered as O, tracks as T
+from mixframe.operators import credits, cue_jobs, match, ordered as O, tracks as T
 
 
 def sample(spark, seed=1, keys=4, rows=23):
@@ -89,10 +90,83 @@ def pair_rows(spark, seed, n=40):
     return spark.createDataFrame(c, schema), spark.createDataFrame(o, schema)
 
 
-def test_long_pairs_match_like_short_ones(spark):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+        row = now
+    return row[-1]
+
+
+def alike(a, b):
+    return 1 - edits(a, b) / max(len(a), len(b))
+
+
+def subset_texts(names, title):
+    names = sorted(n.lower() for n in names)
+    return [" & ".join(c) + " - " + title.lower() for k in range(1, len(names) + 1) for c in itertools.combinations(names, k)]
+
+
+def test_rings_find_the_best(spark):
     cand, orig = pair_rows(spark, 2)
+    got = {r.pos: (r.target_pos, round(r.score, 9)) for r in match.best_match(match.track_norms(cand), match.track_norms(orig)).collect()}
+    lines = [r.text for r in orig.orderBy("pos").collect()]
+    for r in cand.collect():
+        best = max((round(alike(r.text.strip(), o.strip()), 9), -p) for p, o in enumerate(lines, 1))
+        assert got[r.pos] == (-best[1], best[0]), r.text
+
+
+def test_best_subset_is_what_brute_force_finds():
+    rng = random.Random(11)
+    for _ in range(150):
+        word = lambda n: "".join(rng.choices("abc", k=rng.randint(1, n)))
+        a = sorted({word(4) for _ in range(rng.randint(1, 5))})
+        b = sorted({rng.choice(a) if rng.random() < 0.4 else word(4) for _ in range(rng.randint(1, 4))})
+        s, t = word(8), word(8)
+        want = max(alike(x, y) for x in subset_texts(a, s) for y in subset_texts(b, t))
+        assert abs(credits.best_similarity(credits.graph(a, s), credits.graph(b, t)) - want) < 1e-9
+        assert abs(credits.best_similarity(credits.graph(a, s), credits.graph(b, t), 0.8) - max(want, 0.8)) < 1e-9
+
+
+def test_three_artists_against_two(spark):
+    schema = "pair_id int, pos int, type string, text string"
+    cand = spark.createDataFrame([(1, 1, "track", "Al & Bo - Song"), (1, 2, "track", "Xi, Yo & Zed - Other tune")], schema)
+    orig = spark.createDataFrame([(1, 1, "track", "Al & Bo & Cy - Snog"), (1, 2, "track", "Zedd, Xi & Quo - Other tunes")], schema)
     cn, on = match.track_norms(cand), match.track_norms(orig)
-    assert rows(match.best_match(cn, on)) == rows(match.best_match(cn, on, part_rows=1))
+    best = {r.pos: (r.target_pos, r.score) for r in match.best_match(cn, on).collect()}
+    assert best[1] == (1, pytest.approx(12 / 14))
+    exact = match.match_tracks_exact(cn, on)
+    assert {(r.cand_pos, r.orig_pos) for r in match.match_tracks_fuzzy(cn, on, exact).collect()} == {(1, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.95])
+def test_every_similar_subset_is_found(spark, threshold):
+    """One to twelve artists; a candidate is matched just when some subset of its names is alike."""
+    rng = random.Random(int(threshold * 100))
+    pool = ["Al", "Bo", "Cy", "Dee", "Echo", "Fay", "Gus", "Hal", "Ivy", "Jo", "Kim", "Lou", "Moe", "Nan"]
+    def line(n, title):
+        names = rng.sample(pool, n)
+        if rng.random() < 0.5:
+            names[0] = names[0][:-1] + "q"
+        return names, title
+    titles = ["Night", "Nigth", "Deep Blue", "Deep Blu", "Long Way Down", "Acid", "Train"]
+    c = [line(n, rng.choice(titles)) for n in (1, 2, 3, 4, 5, 3, 2, 6, 3, 12)]
+    o = [line(n, rng.choice(titles)) for n in (3, 1, 2, 5, 4, 3, 2, 7, 3)]
+    schema = "pair_id int, pos int, type string, text string"
+    rows_of = lambda side: spark.createDataFrame([(1, i + 1, "track", " & ".join(a) + " - " + t) for i, (a, t) in enumerate(side)], schema)
+    cn, on = match.track_norms(rows_of(c)), match.track_norms(rows_of(o))
+    exact = match.match_tracks_exact(cn, on)
+    got = {r.cand_pos for r in exact.unionByName(match.match_tracks_fuzzy(cn, on, exact, threshold)).collect()}
+    graphs = [[credits.graph(sorted(n.lower() for n in a), t.lower()) for a, t in side] for side in (c, o)]
+    best = {i + 1: max(credits.best_similarity(x, y) for y in graphs[1]) for i, x in enumerate(graphs[0])}
+    assert {i for i, s in best.items() if s >= threshold and len(c[i - 1][0]) >= 3} <= got
+    assert all(best[i] >= threshold - 1e-9 for i in got)
+    scores = {r.pos: r.score for r in match.best_match(cn, on).collect()}
+    for i, (a, t) in enumerate(c[:-1], 1):
+        want = max(alike(x, y) for x in subset_texts(a, t) for b, s in o if len(b) < 6 for y in subset_texts(b, s)) if len(a) < 6 else best[i]
+        assert want - 1e-9 <= scores[i] and abs(scores[i] - best[i]) < 1e-9
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.6, 0.95])
