@@ -87,10 +87,13 @@ def stream_ttl_lookup(spark, sf):
     return out.groupBy("key", "kind", F.coalesce("answer", F.lit("")).alias("answer")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH b AS (SELECT CAST(user_id AS VARCHAR) AS key, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS started,
-  max(struct_pack(g := event_id % 1000, v := event_type)) AS top FROM events GROUP BY 1, 2)
-SELECT key, top.g AS generation, top.v AS value FROM b WHERE started + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS started, event_id % 1000 AS generation, event_type AS value FROM events),
+d AS (SELECT key, started, max(generation) AS top FROM e GROUP BY 1, 2),
+m AS (SELECT key, started, max(top) OVER (PARTITION BY key ORDER BY started) AS newest FROM d)
+SELECT e.key, e.generation, e.value FROM e JOIN m ON m.key = e.key AND m.started = e.started AND m.newest = e.generation
+WHERE e.started + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_latest(spark, sf):
+    """The answers of the newest generation a user has had up to that day; the last, open day is not settled."""
     feed = events(spark, sf).select(F.col("user_id").cast("string").alias("key"), "ts", (F.col("event_id") % 1000).alias("generation"),
                                     F.col("event_type").alias("value"))
-    return run(J.stream_latest(feed, "1 hour", "1 day")).drop("started")
+    return run(J.stream_latest(feed, "1 hour", "1 day", 3_650 * J.DAY)).drop("started")

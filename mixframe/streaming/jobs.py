@@ -6,6 +6,7 @@ still need it, and rows later than that are dropped.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,10 +48,38 @@ def stream_bursts(stream: DataFrame, gap: str, delay: str, key: str) -> DataFram
         key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
+class _Waiting:
+    """Rows of a key that wait for their time, in map state by time.
+
+    Every input batch adds a part of its own to each time it has rows for, and a time is opened once, when it
+    is due: neither reads what waits for other times, so the cost grows with the rows and not with the list.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.parts = handle.getMapState("parts", "due BIGINT", "n BIGINT")
+        self.rows = handle.getMapState("rows", "due BIGINT, part BIGINT", "rows STRING")
+
+    def add(self, due: int, rows: list) -> None:
+        part = self.parts.getValue((due,))[0] if self.parts.containsKey((due,)) else 0
+        self.rows.updateValue((due, part), (json.dumps(rows),))
+        self.parts.updateValue((due,), (part + 1,))
+
+    def take(self, due: int) -> list:
+        """What waits for one time, which is forgotten."""
+        if not self.parts.containsKey((due,)):
+            return []
+        found = []
+        for part in range(self.parts.getValue((due,))[0]):
+            found += json.loads(self.rows.getValue((due, part))[0])
+            self.rows.removeKey((due, part))
+        self.parts.removeKey((due,))
+        return found
+
+
 class _Remembered(StatefulProcessor):
     """Per key: requests that may still be overtaken, and the answer in force with its end.
 
-    Requests wait until the watermark has passed them and are then answered in the order of their
+    Requests wait until the watermark has passed their second and are then answered in the order of their
     event time, so arrival order and file layout do not matter.  What has ended is forgotten by a timer.
     """
 
@@ -59,44 +88,38 @@ class _Remembered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at BIGINT, answer STRING")
+        self.waiting = _Waiting(handle)
         self.answer = handle.getValueState("answer", "answer STRING, ends BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now, due = timerValues.getCurrentWatermarkInMs(), {}
         for pdf in rows:
             at = pdf["ts"].astype("datetime64[us]").astype("int64")
-            on_time = at // 1000 >= now
-            if on_time.any():
-                self.waiting.appendList([(int(t), None if pd.isna(a) else str(a)) for t, a in zip(at[on_time], pdf["answer"][on_time])])
-                # a timer for each whole second that has requests
-                for t in sorted(set((at[on_time] // 1_000_000).tolist())):
-                    self.handle.registerTimer((t + 1) * 1000)
+            for t, a in zip(at.tolist(), pdf["answer"]):
+                if t // 1000 >= now:
+                    due.setdefault((t // 1_000_000 + 1) * 1000, []).append((t, None if pd.isna(a) else str(a)))
+        for second, mine in due.items():
+            self.waiting.add(second, mine)
+            self.handle.registerTimer(second)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        due = expiredTimerInfo.getExpiryTimeInMs()
         # equal times: known answers before missing ones, then by text
-        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1] is None, r[1] or ""))
+        waiting = sorted(self.waiting.take(due), key=lambda r: (r[0], r[1] is None, r[1] or ""))
         answer, ends = self.answer.get() if self.answer.exists() else (None, -1)
-        out, rest = [], []
+        out, asked = [], False
         for at, found in waiting:
-            if at >= due:
-                rest.append((at, found))
-            elif at < ends:
-                out.append((at, "hit", answer))
-            else:
-                answer, ends = found, at + (self.missed if found is None else self.kept) * 1_000_000
+            if at >= ends:
+                answer, ends, asked = found, at + (self.missed if found is None else self.kept) * 1_000_000, True
                 out.append((at, "ask", answer))
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        if ends > due:
-            self.answer.update((answer, ends))
-            self.handle.registerTimer(ends // 1000 + 1)
-        else:
+            else:
+                out.append((at, "hit", answer))
+        if ends <= due * 1000:
             self.answer.clear()
+        elif asked:
+            self.answer.update((answer, ends))
+            self.handle.registerTimer(-(-ends // 1000))
         if out:
             yield pd.DataFrame({"key": [key[0]] * len(out), "ts": pd.to_datetime([r[0] for r in out], unit="us"),
                                 "kind": [r[1] for r in out], "answer": pd.Series([r[2] for r in out], dtype="object")})
@@ -118,40 +141,39 @@ def stream_ttl_lookup(stream: DataFrame, delay: str, ttl: tuple[int, int] = NAME
 class _Newest(StatefulProcessor):
     """Per key: answers whose window is still open, and the newest generation of the windows that have closed."""
 
+    def __init__(self, memory: int):
+        self.memory = memory
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ended BIGINT, started BIGINT, generation BIGINT, value STRING")
-        self.newest = handle.getValueState("newest", "generation BIGINT")
+        self.waiting = _Waiting(handle)
+        self.newest = handle.getValueState("newest", "generation BIGINT, ends BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now, due = timerValues.getCurrentWatermarkInMs(), {}
         for pdf in rows:
-            mine = [(int(e), int(s), int(g), None if pd.isna(v) else str(v))
-                    for e, s, g, v in zip(pdf["ended"], pdf["started"], pdf["generation"], pdf["value"]) if e // 1000 > now]
-            if mine:
-                self.waiting.appendList(mine)
-                for ended in sorted({r[0] for r in mine}):
-                    self.handle.registerTimer(-(-ended // 1000))
+            for e, s, g, v in zip(pdf["ended"], pdf["started"], pdf["generation"], pdf["value"]):
+                if e // 1000 > now:
+                    due.setdefault(-(-int(e) // 1000), []).append((int(s), int(g), None if pd.isna(v) else str(v)))
+        for ended, mine in due.items():
+            top = max(g for _, g, _ in mine)  # what a batch itself supersedes need not wait
+            self.waiting.add(ended, [r for r in mine if r[1] == top])
+            self.handle.registerTimer(ended)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        newest = self.newest.get()[0] if self.newest.exists() else NO_GENERATION
-        out, rest = [], []
-        closed: dict[int, list] = {}
-        for row in self.waiting.get():
-            if row[0] <= due:
-                closed.setdefault(row[0], []).append(row)
-            else:
-                rest.append(tuple(row))
-        for ended in sorted(closed):
-            newest = max(newest, max(r[2] for r in closed[ended]))
-            out += sorted(((r[1], r[2], r[3]) for r in closed[ended] if r[2] == newest), key=lambda r: (r[2] is None, r[2] or ""))
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        self.newest.update((newest,))
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        closed = self.waiting.take(due)
+        newest, ends = self.newest.get() if self.newest.exists() else (NO_GENERATION, -1)
+        if closed:
+            if ends <= due:
+                newest = NO_GENERATION
+            newest, ends = max(newest, max(r[1] for r in closed)), due + self.memory * 1000
+            self.newest.update((newest, ends))
+            self.handle.registerTimer(ends)
+        elif ends <= due:
+            self.newest.clear()
+        out = sorted((r for r in closed if r[1] == newest), key=lambda r: (r[2] is None, r[2] or ""))
         if out:
             yield pd.DataFrame({"key": pd.Series([key[0]] * len(out), dtype="object"), "started": pd.to_datetime([r[0] for r in out], unit="us"),
                                 "generation": [r[1] for r in out], "value": pd.Series([r[2] for r in out], dtype="object")})
@@ -164,18 +186,19 @@ class _Newest(StatefulProcessor):
 NO_GENERATION = -(1 << 63)
 
 
-def stream_latest(stream: DataFrame, delay: str, window: str) -> DataFrame:
+def stream_latest(stream: DataFrame, delay: str, window: str, memory: int = NAME_TTL[0]) -> DataFrame:
     """``(key, started, generation, value)``: the answers that no newer generation of their key supersedes.
 
     A window of event time is settled once the watermark has passed it: all its answers of the newest
     generation so far, in this window or an earlier one, come out; the others are dropped, whatever order
-    they arrive in.  The newest generation of a key is kept for good.  A null generation is the oldest.
+    they arrive in.  The newest generation of a key is forgotten ``memory`` seconds after the last window
+    that had answers.  A null generation is the oldest.
     """
     w = F.window("ts", window)
     rows = stream.select("key", "ts", F.unix_micros(w.start).alias("started"), F.unix_micros(w.end).alias("ended"),
                          F.coalesce(F.col("generation").cast("long"), F.lit(NO_GENERATION)).alias("generation"), F.col("value").cast("string").alias("value"))
     out = rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(
-        _Newest(), f"key {stream.schema['key'].dataType.simpleString()}, started TIMESTAMP, generation BIGINT, value STRING", "Append", "eventTime")
+        _Newest(memory), f"key {stream.schema['key'].dataType.simpleString()}, started TIMESTAMP, generation BIGINT, value STRING", "Append", "eventTime")
     kinds = {c: stream.schema[c].dataType for c in ("generation", "value")}
     return out.select("key", "started", F.when(F.col("generation") != NO_GENERATION, F.col("generation")).cast(kinds["generation"]).alias("generation"),
                       F.col("value").cast(kinds["value"]).alias("value"))
