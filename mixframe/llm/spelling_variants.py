@@ -97,21 +97,17 @@ def scan(words: list[str], shared: int = 0) -> list[tuple[int, int]]:
     columns, since farther ones are more than one edit away.
     """
     count = len(words)
-    size = np.array([len(w) for w in words])
-    widest = int(size.max(initial=0)) + 3
-    letters = np.zeros((count, widest), dtype=np.int32)
-    for i, w in enumerate(words):
-        letters[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), dtype=np.int32)
     common = [shared] * (count + 1)  # with the word before
     for i in range(1, count):
         x, y, k = words[i - 1], words[i], shared
         while k < len(x) and k < len(y) and x[k] == y[k]:
             k += 1
         common[i] = k
+    padded = [w + "\0\0\0" for w in words]
+    table = _Table(words) if count > FEW_WORDS else None
     found: list[tuple[int, int]] = []
-    # rows[k]: open words and their three columns behind `shared + k` code points of the present word
-    first = np.full(count, 1 if shared else 2, dtype=np.int8)
-    rows = [(np.arange(count), first, np.zeros(count, np.int8), np.ones(count, np.int8))]
+    # rows[k]: the open words and their three columns behind `shared + k` code points of the present word
+    rows: list = [[(j, 1 if shared else 2, 0, 1) for j in range(count)] if table is None else table.first(shared)]
     dead = None  # no word is open behind this many code points
     for i, word in enumerate(words):
         if dead is not None and common[i] >= dead:
@@ -120,34 +116,72 @@ def scan(words: list[str], shared: int = 0) -> list[tuple[int, int]]:
         depth = common[i]
         del rows[depth - shared + 1 :]
         own = common[i + 1] if i + 1 < count else shared  # behind this depth no other word of the list follows
-        at, left, mid, right = rows[-1]
+        row = rows[-1]
         for d in range(depth, len(word)):
-            if d >= own:
-                keep = at < i
-                if not keep.all():
-                    at, left, mid, right = at[keep], left[keep], mid[keep], right[keep]
-            c = letters[i, d]
-            here = letters[at, d]
-            new_left = np.minimum(left + (letters[at, d - 1] != c) if d else left, mid + 1)
-            new_mid = np.minimum(np.minimum(mid + (here != c), right + 1), new_left + 1)
-            new_right = np.minimum(right + (letters[at, d + 1] != c), new_mid + 1)
-            keep = np.minimum(np.minimum(new_left, new_mid), new_right) <= 1
-            at, left, mid, right = at[keep], new_left[keep], new_mid[keep], new_right[keep]
-            rows.append((at, left, mid, right))
-            if not len(at):
+            if not isinstance(row, list):
+                row = table.step(row, d, i, i if d >= own else count)
+            else:
+                row = _step(row, padded, d, word[d], i if d >= own else count)
+            rows.append(row)
+            if not len(row):
                 if d < own:
                     dead = d + 1
                 break
         else:
-            gap = size[at] - len(word)
-            edits = np.choose(np.clip(gap + 1, 0, 2), (left, mid, right))
-            for j in at[(np.abs(gap) <= 1) & (edits == 1) & (at < i)]:
-                found.append((int(j), i))
+            for j, left, mid, right in row if isinstance(row, list) else table.tuples(row):
+                gap = len(words[j]) - len(word)
+                if j < i and -1 <= gap <= 1 and (left, mid, right)[gap + 1] == 1:
+                    found.append((j, i))
         if len(rows) - 1 + shared > own:
             del rows[own - shared + 1 :]
     return found
 
 
+#: Rows of so many open words are worked on as lists, longer ones as arrays.  It changes the speed only.
+FEW_WORDS = 32
+
+
+def _step(row: list[tuple], padded: list[str], d: int, c: str, below: int) -> list[tuple]:
+    """The next row for the open words before ``below``: one more code point, ``c``, of the list."""
+    out = []
+    for j, left, mid, right in row:
+        if j < below:
+            w = padded[j]
+            size = len(w) - 1
+            left = min(left + (w[d - 1] != c if d <= size else 1) if d else left, mid + 1)
+            mid = min(mid + (w[d] != c if d <= size else 1), right + 1, left + 1)
+            right = min(right + (w[d + 1] != c if d < size else 1), mid + 1)
+            if left <= 1 or mid <= 1 or right <= 1:
+                out.append((j, left, mid, right))
+    return out
+
+
+class _Table:
+    """Rows of many open words as arrays: word numbers and three columns."""
+
+    def __init__(self, words: list[str]):
+        self.letters = np.zeros((len(words), max(map(len, words)) + 3), dtype=np.int32)
+        for i, w in enumerate(words):
+            self.letters[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), dtype=np.int32)
+
+    def first(self, shared: int) -> np.ndarray:
+        count = len(self.letters)
+        return np.stack((np.arange(count), np.full(count, 1 if shared else 2), np.zeros(count, np.int64), np.ones(count, np.int64)), axis=1)
+
+    def step(self, row: np.ndarray, d: int, word: int, below: int):
+        at, left, mid, right = row[row[:, 0] < below].T
+        c, letters = self.letters[word, d], self.letters
+        left = np.minimum(left + (letters[at, d - 1] != c) if d else left, mid + 1)
+        mid = np.minimum(np.minimum(mid + (letters[at, d] != c), right + 1), left + 1)
+        right = np.minimum(right + (letters[at, d + 1] != c), mid + 1)
+        out = np.stack((at, left, mid, right), axis=1)[np.minimum(np.minimum(left, mid), right) <= 1]
+        return out if len(out) > FEW_WORDS else self.tuples(out)
+
+    @staticmethod
+    def tuples(row: np.ndarray) -> list[tuple]:
+        return [tuple(r) for r in row.tolist()]
+
+
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (size, low, high, shared, turned, n) sorted by range and word: pairs found, in both directions."""
     key, words, counts = None, [], []
