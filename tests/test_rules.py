@@ -2,12 +2,13 @@
 
 import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from mixframe.functions import clean, cues, dates, durations, episodes, lines, text, track_text, urls
-from mixframe.operators import catalogue, detect, entities, episodes as episode_jobs, fields, merge, ordered, uploads as upload_jobs
+from mixframe.operators import catalogue, detect, entities, episodes as episode_jobs, fields, links, merge, ordered, uploads as upload_jobs
 from mixframe.plans.stream_queries import run
 from mixframe.sources import html_rows, sinks, tracklists, uploads
 from mixframe.streaming import jobs
@@ -310,3 +311,35 @@ def test_stream_latest_keeps_all_answers_of_the_newest_generation(spark, tmp_pat
     out = run(jobs.stream_latest(stream, "1 hour", "1 day"))
     assert sorted((r.key, r.started.day, r.generation, r.value) for r in out.collect()) == [
         ("k", 1, 5, "a"), ("k", 1, 5, "b"), ("k", 3, 6, "new"), ("m", 2, None, "only")]
+
+
+def test_links_however_they_are_written(spark):
+    html = ("<a href=one>1</a><A title='x > y' HREF='two'>2</A><a\n  data-x=\"href='no'\" href = \"three\" >3</a><!-- <a href=no> --><script>'<a href=no>'</script>"
+            "<iframe data-src=/four src='about:blank'></iframe><a href>none</a><a href=''>none</a><area href=no><source src=/five/><a href=/six" + " x='y'" * 5000 + ">6</a><a href='open>7")
+    df = spark.createDataFrame([(1, "https://h.example/d/p", html), (2, None, None), (3, "https://h.example", "")], "page_id long, url string, html string")
+    got = [(r.page_id, r.pos, r.raw) for r in links.scan_links(df).orderBy("page_id", "pos").collect()]
+    assert [(p, r) for p, _, r in got] == [(1, "one"), (1, "two"), (1, "three"), (1, "/four"), (1, "about:blank"), (1, "/five/"), (1, "/six")]
+    assert [p for _, p, _ in got] == list(range(7))
+
+
+def _asked(spark, tmp_path, rows, ttl):
+    feed = spark.createDataFrame(rows, "key string, ts timestamp, answer string")
+    feed.coalesce(1).write.parquet(str(tmp_path / "asked"))
+    return run(jobs.stream_ttl_lookup(spark.readStream.schema(feed.schema).parquet(str(tmp_path / "asked")), "1 second", ttl))
+
+
+def test_many_requests_of_one_key(spark, tmp_path):
+    """Every timer opens its own second only: the cost grows with the requests."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [("k", start + datetime.timedelta(seconds=i), None if i % 7 else f"a{i}") for i in range(2_000)]
+    began = time.time()
+    got = _asked(spark, tmp_path, rows, (50, 20)).collect()
+    assert time.time() - began < 90
+    kinds, ends, answer = {}, -1, None
+    for i, (_, at, found) in enumerate(rows):
+        if i >= ends:
+            kinds[at], answer, ends = ("ask", found), found, i + (20 if found is None else 50)
+        else:
+            kinds[at] = ("hit", answer)
+    got = {r.ts: (r.kind, r.answer) for r in got}
+    assert len(got) >= 1_990 and all(kinds[t] == v for t, v in got.items())
