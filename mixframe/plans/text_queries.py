@@ -72,23 +72,26 @@ def suggest_titles(spark, sf):
     return out.select("upload_id", "suggested", "artist", "entity")
 
 
-# The crawled pages hold no block of more than eight rows, so the rows are those of the rendered mixes.
+# The crawled pages hold no block of more than eight rows, so the rows are those of the rendered mixes.  Tables come in
+# both orders; every third title has a version, by which a block tells its columns.
 @query(V.with_views("v_tracks", then="""
 n AS (SELECT tl_id, count(*) AS n FROM v_tracks GROUP BY 1)
 SELECT -tl_id - 1 AS page_id, CAST(1 AS INT) AS block, CAST(pos AS INT) AS pos, CAST(NULL AS VARCHAR) AS cue, artist, title, CAST(NULL AS VARCHAR) AS label,
-  artist || ' - ' || title AS text FROM v_tracks JOIN n USING (tl_id) WHERE n > 8"""))
+  artist || ' - ' || title AS text FROM (SELECT tl_id, pos, artist, title || CASE WHEN pos % 3 = 0 AND tl_id % 2 = 1 THEN ' (Night Remix)' ELSE '' END AS title FROM v_tracks) JOIN n USING (tl_id) WHERE n > 8"""))
 def scan_html_rows(spark, sf):
-    """Every page as crawled, plus each mix rendered as a list and as a table."""
+    """Every page as crawled, plus each mix rendered as a list, as a table or as a table with its columns swapped."""
     t = V.v_tracks(spark, sf)
     cell = F.concat(F.lit('<span class="artist">'), "artist", F.lit('</span><span class="title">'), "title", F.lit("</span>"))
     li = F.concat(F.lit("<li>"), cell, F.lit("</li>"))
-    tr = F.concat(F.lit("<tr><td>"), "title", F.lit("</td><td>"), "artist", F.lit("</td></tr>"))
+    title = F.concat("title", F.when(F.col("pos") % 3 == 0, " (Night Remix)").otherwise(""))
+    swapped = F.col("tl_id") % 4 == 1
+    tr = F.concat(F.lit("<tr><td>"), F.when(swapped, title).otherwise(F.col("artist")), F.lit("</td><td>"), F.when(swapped, F.col("artist")).otherwise(title), F.lit("</td></tr>"))
     rows = F.when(F.col("tl_id") % 2 == 0, li).otherwise(tr)
     made = t.withColumn("_r", rows).groupBy("tl_id").agg(F.expr("listagg(_r, '') WITHIN GROUP (ORDER BY pos)").alias("_b"))
     html = F.when(F.col("tl_id") % 2 == 0, F.concat(F.lit("<ul>"), "_b", F.lit("</ul>"))).otherwise(F.concat(F.lit("<table>"), "_b", F.lit("</table>")))
     made = made.select((-F.col("tl_id") - 1).alias("page_id"), F.lit("https://made.example/").alias("url"), html.alias("html"))
     crawled = V.read_table(spark, sf, "pages").select("page_id", "url", "html")
     spec = spark.createDataFrame([("*", "list", "artist", "artist", None), ("*", "list", "title", "title", None),
-                                  ("*", "table", "title", None, 0), ("*", "table", "artist", None, 1)],
+                                  ("*", "table", "left", None, 0), ("*", "table", "right", None, 1)],
                                  "host string, kind string, role string, class_pattern string, cell int")
     return html_rows.scan_html_rows(made.unionByName(crawled), spec)

@@ -19,6 +19,8 @@ from ..operators import ordered as O
 # Blocks this short are no tracklist; tables shorter than MIN_TABLE never are.
 SHORT_BLOCK = 8
 MIN_TABLE = 3
+# A version in brackets at the end: what a title has and a name does not.
+VERSION = r"(?i)\([^()]*\b(?:re)?mix(?:ed)?\b[^()]*\)$|\([^()]*\b(?:edit|dub|version|live|vip|bootleg|instrumental)\)$"
 CELL_SCHEMA = "page_id BIGINT, _host STRING, block INT, kind STRING, row INT, cell INT, class STRING, text STRING"
 
 
@@ -109,11 +111,28 @@ def html_cells(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", _host(), "html").mapInPandas(_cells, CELL_SCHEMA)
 
 
+def _ordered_columns(rows: DataFrame) -> DataFrame:
+    """``left`` and ``right`` as artist and title.
+
+    The rows of a block vote: a version in brackets marks a title.  Without a majority the column that
+    repeats itself more is the artist, as one act plays several times; else the left one is.
+    """
+    block = ["page_id", "block"]
+    version = lambda c: F.coalesce(F.col(c).rlike(VERSION), F.lit(False)).cast("int")
+    votes = rows.groupBy(*block).agg(F.sum(version("left") - version("right")).alias("marked"),
+                                     (F.count_distinct("left") - F.count_distinct("right")).alias("varied"))
+    votes = votes.select(*block, ((F.col("marked") > 0) | ((F.col("marked") == 0) & (F.col("varied") > 0))).alias("swapped"))
+    rows = rows.join(votes, block)
+    first, second = F.when(F.col("swapped"), F.col("right")).otherwise(F.col("left")), F.when(F.col("swapped"), F.col("left")).otherwise(F.col("right"))
+    return rows.withColumns({"artist": F.coalesce("artist", first), "title": F.coalesce("title", second)}).drop("left", "right", "swapped")
+
+
 def scan_html_rows(pages: DataFrame, site_spec: DataFrame) -> DataFrame:
     """``(page_id, block, pos, cue, artist, title, label, text)`` of the tracklist blocks.
 
     ``site_spec(host, kind, role, class_pattern, cell)`` names the cell of each role by its class
-    or, where that is NULL, by its number; ``host`` '*' is for every page.
+    or, where that is NULL, by its number; ``host`` '*' is for every page.  The roles ``left`` and ``right``
+    are artist and title in an order that differs from block to block: each block decides by its own rows.
     """
     cells = html_cells(pages)
     # the rules of each host and kind first: one short list, joined on both
@@ -126,7 +145,8 @@ def scan_html_rows(pages: DataFrame, site_spec: DataFrame) -> DataFrame:
     hit = hit.where(F.when(F.col("class_pattern").isNotNull(), F.expr("class rlike class_pattern")).otherwise(F.col("cell") == F.col("at")))
     value = squeeze(F.translate("text", " ", " "))
     pick = lambda r: F.min_by(value, F.when(F.col("role") == r, F.col("cell")))
-    rows = hit.groupBy("page_id", "block", "kind", "row").agg(*[pick(r).alias(r) for r in ("cue", "artist", "title", "label")])
+    rows = hit.groupBy("page_id", "block", "kind", "row").agg(*[pick(r).alias(r) for r in ("cue", "artist", "title", "label", "left", "right")])
+    rows = _ordered_columns(rows)
     rows = rows.where(F.coalesce("artist", "title").isNotNull())
     sizes = rows.groupBy("page_id", "block").agg(F.count(F.lit(1)).alias("n_rows"))
     rows = rows.join(sizes, ["page_id", "block"]).where(F.col("n_rows") > SHORT_BLOCK)
