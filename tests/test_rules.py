@@ -356,3 +356,19 @@ def test_columns_in_either_order(spark):
     spec = spark.createDataFrame([("*", "table", "left", None, 0), ("*", "table", "right", None, 1)], "host string, kind string, role string, class_pattern string, cell int")
     got = html_rows.scan_html_rows(df, spec).collect()
     assert len(got) == 54 and all(r.artist.startswith("Act") and r.title.startswith("Tune") for r in got)
+
+
+def test_tight_dashes_in_comments(spark):
+    tight = [f"Act{c}-Song {c * 2} Long" for c in "ABCDEFGH"]
+    numbered = " ".join(f"{i}. {t}" for i, t in enumerate(tight, 1))
+    cued = " ".join(f"({i * 5:02d}) {t}" for i, t in enumerate(tight))
+    words = " ".join(f"{i}. well-known" for i in range(1, 9))  # nothing reads on behind the dash
+    plain = " ".join(f"{i}. Act - A-Side of {i}" for i in range(1, 9))
+    rows = [("u1", 0, numbered), ("u2", 0, cued), ("u3", 0, words), ("u4", 0, plain), ("u5", 0, None), ("u6", 0, "")]
+    found = detect.detect_in_comments(spark.createDataFrame(rows, "player_url string, comment_no bigint, body string")).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.doc_id.player_url, r.line_no)):
+        got.setdefault(r.doc_id.player_url, []).append(r.line)
+    assert sorted(got) == ["u1", "u2", "u4"]
+    assert len(got["u1"]) == 8 and got["u1"][0].endswith("ActA - Song AA Long") and got["u2"][7].endswith("ActH - Song HH Long")
+    assert got["u4"][3].endswith("Act - A-Side of 4")
