@@ -10,20 +10,26 @@ from ..functions.durations import with_durations as durations
 from ..functions.text import squeeze
 
 
-def track_fields(tracks: DataFrame, major_labels: DataFrame | None = None) -> DataFrame:
+def track_fields(tracks: DataFrame, major_labels: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Clean artist, title and label of each track, a 'feat.' moved to the artist, and the text.
 
     ``major_labels(label)`` are labels so large that they say nothing about a track: a last label of the
-    list that is one of them, in any case, is left out.
+    list that is one of them, or of their family ("Name of the major ..."), in any case, is left out.
+    ``rules(field, order, pattern, replacement)`` are replacements besides the built-in ``clean.FIELD_RULES``, for
+    the fields title and label; all of a field apply by their order, and become part of the plan.
     """
+    rows = rules.select("field", F.col("order").cast("double"), "pattern", "replacement").collect() if rules is not None else None  # a list of rules
     out = tracks.withColumn("artist", C.without_country_codes(C.distinct_artists("artist")))
-    out = out.withColumn("title", C.clean_title("title")).withColumn("label", C.clean_label("label", "artist"))
+    out = out.withColumn("title", C.clean_title("title", rows)).withColumn("label", C.clean_label("label", "artist", rows))
     if major_labels is not None:
-        major = major_labels.select(F.lower(F.trim("label")).alias("_major")).where("_major != ''").distinct()
-        last = F.lower(F.regexp_extract("label", r"([^,]*)$", 1))
-        out = out.join(major, F.trim(last) == F.col("_major"), "left")
+        name = F.lower(F.trim("label"))
+        majors = major_labels.select(name.alias("_name")).where("_name != ''")
+        majors = majors.groupBy(F.split("_name", " ")[0].alias("_first")).agg(F.collect_set("_name").alias("_majors"))  # one row per first word
+        last = F.trim(F.lower(F.regexp_extract("label", r"([^,]*)$", 1)))
+        out = out.withColumn("_last", last).join(majors, F.split("_last", " ")[0] == F.col("_first"), "left")
+        of_family = F.exists("_majors", lambda m: (F.col("_last") == m) | F.col("_last").startswith(F.concat(m, F.lit(" "))))
         rest = F.regexp_replace("label", r"(?:^|,)[^,]*$", "")
-        out = out.withColumn("label", F.when(F.col("_major").isNotNull(), rest).otherwise(F.col("label"))).drop("_major")
+        out = out.withColumn("label", F.when(of_family, rest).otherwise(F.col("label"))).drop("_first", "_majors", "_last")
     feat = F.regexp_extract("title", r"(?i)\s*(\(feat\. [^)]+\))", 1)
     out = out.withColumn("_feat", feat)
     out = out.withColumn("title", F.when(F.col("_feat") != "", squeeze(F.replace("title", F.col("_feat"), F.lit("")))).otherwise(F.col("title")))

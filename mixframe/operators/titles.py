@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import clean, vocab
 from ..functions.dates import SEPARATORS
 from ..functions.text import name_key, squeeze
-from . import ordered as O
 from .entities import confidence_band
 from .uploads import date_candidates, episodes_from_titles, title_without_date
 
@@ -82,8 +81,3 @@ def suggest_titles(uploads: DataFrame, lookup: DataFrame, places: DataFrame | No
     suggested = F.when(F.col("artist").isNotNull(), squeeze(text))
     return out.select("upload_id", suggested.alias("suggested"), "artist", "entity", "episode", reasons.alias("reasons"),
                       confidence.alias("confidence"), confidence_band(confidence).alias("band"))
-
-
-def chunk_positions(chunks: DataFrame, longest: int | None = None) -> DataFrame:
-    """Dense chunk numbers after parts were dropped."""
-    return O.dense_pos(chunks, "upload_id", ["chunk_no"], longest, name="part_no")

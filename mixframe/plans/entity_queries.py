@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vocab import STYLE_RENAMES
 from ..operators import entities as E
 from . import fixtures as V
 from .registry import Registry
@@ -166,6 +165,8 @@ def resolve_handles(spark, sf):
     return E.resolve_handles(lines, handles)
 
 
+# Tags and the styles they are filed under
+STYLE_RENAMES = {"Nu-Disco": ["Disco", "House"], "Jazz-Funk": ["Jazz", "Funk"], "Synth-pop": ["Pop"]}
 RENAMES = " UNION ALL ".join(f"SELECT '{t}' AS tag, {i} AS style_no, '{s}' AS style" for t, ss in STYLE_RENAMES.items() for i, s in enumerate(ss))
 TAG = "CASE p_size % 5 WHEN 0 THEN 'Nu-Disco' WHEN 1 THEN 'House' WHEN 2 THEN 'Jazz-Funk' WHEN 3 THEN p_brand ELSE 'Synth-pop' END"
 

@@ -37,7 +37,7 @@ def durations(spark, sf):
 @query(_views("""
 SELECT tl_id, pos, CASE tl_id % 6 WHEN 0 THEN artist || ' - ' || title WHEN 1 THEN artist || ', Other - ' || title WHEN 2 THEN artist || ' (feat. Someone) - ' || title
   WHEN 3 THEN artist || ' - ' || title || ' (Night Remix)' WHEN 4 THEN artist || ' - ' || title ELSE artist || ' - ' || title || ' (' || artist || ' Remix)' END AS text,
-  CASE WHEN label = 'Brand#1' AND tl_id % 6 = 1 THEN artist || ' Records' WHEN label IN ('Brand#1', 'Brand#2') THEN '' ELSE 'Deep Label' END AS label FROM v_tracks"""))
+  CASE WHEN label = 'Brand#1' AND tl_id % 6 = 1 THEN artist || ' Records' WHEN label = 'Brand#1' THEN '' WHEN label = 'Brand#2' THEN 'Small' WHEN label = 'Brand#3' THEN 'Reprint' ELSE 'Label Deep' END AS label FROM v_tracks"""))
 def track_fields(spark, sf):
     k, a, t = F.col("tl_id") % 6, F.col("artist"), F.col("title")
     artist = (F.when(k == 0, F.concat(a, F.lit(" (US)"))).when(k == 1, F.concat(a, F.lit(", Other, "), F.upper(a)))
@@ -45,10 +45,11 @@ def track_fields(spark, sf):
     title = (F.when(k == 0, F.concat(t, F.lit(" (2016 - Remaster)"))).when(k == 2, F.concat(t, F.lit(" (feat. Someone) (Radio Edit)")))
              .when(k == 3, F.concat(t, F.lit(" [Night Remix] (Night Remix)"))).when(k == 4, F.concat(t, F.lit(" (Original Mix)")))
              .when(k == 5, F.concat(t, F.lit(" ("), a, F.lit(" Remix)"))).otherwise(t))
-    label = F.when(F.col("label") == "Brand#1", F.concat(a, F.lit(" Records"))).when(F.col("label") == "Brand#2", "Sony Music").otherwise("Deep Label GmbH")
+    label = F.when(F.col("label") == "Brand#1", F.concat(a, F.lit(" Records"))).when(F.col("label") == "Brand#2", "Small, Sony Music").when(F.col("label") == "Brand#3", "Reprint Back Catalogue").otherwise("Deep Label GmbH")
     tracks = V.v_tracks(spark, sf).select("tl_id", "pos", artist.alias("artist"), title.alias("title"), label.alias("label"))
-    majors = spark.range(1).select(F.lit("SONY Music").alias("label"))
-    return fields.track_fields(tracks, majors).select("tl_id", "pos", "text", "label")
+    majors = spark.range(1).select(F.lit("SONY").alias("label"))
+    rules = spark.createDataFrame([("label", 1000, "^Deep (.+)$", "$1 Deep")], "field string, order int, pattern string, replacement string")
+    return fields.track_fields(tracks, majors, rules).select("tl_id", "pos", "text", "label")
 
 
 @query()
