@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vocab
+from ..functions import templates, vocab
 from ..functions.text import col, name_key
 from ..functions.urls import host
 from . import ordered as O
 
 CATEGORY = r"\[\[Category:([^\]|]+)(?:\|([^\]]*))?\]\]"
 PLAYER = r"\{\{Player((?:\|(?!\d+=)[a-z]+=[^|\n{}]*)*)([^{}]*)\}\}"
-# Fixed value: an address in a player block, with its number and its title.
-PLAYER_LINE = r"^\|(?:\d+=)?(.*?)(?:\|t\d*=(.*))?$"
 RECENT = 10
 NEWEST = 5
 SHARE = 0.9
@@ -329,35 +330,28 @@ def order_players(urls: DataFrame, key: str = "mix_id") -> DataFrame:
     return O.dense_pos(ranked, key, ["_o", "pos", "url"], None, name="rank").drop("_o")
 
 
+def _player_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        done = [templates.with_players(text or "", [(n["url"], n["title"]) for n in new])
+                for text, new in zip(batch.column("wikitext").to_pylist(), batch.column("_new").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.string())],
+                                         ["page_id", "player", "wikitext"])
+
+
 def player_blocks(pages: DataFrame, new_urls: DataFrame) -> DataFrame:
-    """Add addresses to each page's player block, in platform order, and write the block back.
+    """Add addresses ``(page_id, url[, title])`` to each page's player block and write the block back.
 
-    One page's block is a handful of lines; they are handled as an array inside the row.  Options of
-    the block and titles of its addresses stay; new addresses of one priority come in their own order.
+    An address without a title is a mirror: all come in platform order.  One with a title is a further part of the
+    recording: it comes last, and the block is a ``multi`` one.  As soon as one address has a title, those without
+    are "Complete".  An empty address gives way.  Options, other parameters and everything outside of the block stay
+    as they are; a page without a block keeps its source, and ``player`` is what would be put in.
     """
-    added = new_urls.groupBy("page_id").agg(F.array_sort(F.collect_set("url")).alias("_new"))
-    block = F.regexp_extract("wikitext", PLAYER, 0)
-    out = pages.join(added, "page_id").withColumn("_block", block)
-    # the first bar of a block on one line stands on its own line in the written form
-    lines = F.split(F.regexp_extract("_block", PLAYER, 2), r"\n")
-    lines = F.filter(F.transform(lines, lambda l: F.trim(l)), lambda l: F.regexp_replace(l, r"^\|(?:\d+=)?", "") != "")
-    title = lambda l: F.regexp_extract(l, PLAYER_LINE, 2)
-    old = F.transform(lines, lambda l: F.struct(F.regexp_extract(F.regexp_replace(l, r"^(?!\|)", "|"), PLAYER_LINE, 1).alias("u"), title(l).alias("t")))
-    known = F.transform(old, lambda s: s["u"])
-    new = F.transform(F.array_except("_new", known), lambda u: F.struct(u.alias("u"), F.lit("").alias("t")))
-    ranked = F.transform(F.array_sort(F.transform(F.concat(old, new), lambda s, i: F.struct(player_order(s["u"]).alias("o"), i.alias("i"), s.alias("s")))), lambda s: s["s"])
-    out = out.withColumn("_urls", ranked)
-    numbered = F.exists("_urls", lambda s: s["u"].contains("="))
-    number = lambda i: (i + 1).cast("string")
-    named = lambda s, i: F.when(s["t"] != "", F.concat(F.lit("|t"), F.when(i > 0, number(i)).otherwise(""), F.lit("="), s["t"])).otherwise("")
-    body = F.array_join(F.transform("_urls", lambda s, i: F.concat(
-        F.lit(" |"), F.when(numbered, F.concat(number(i), F.lit("="))).otherwise(""), s["u"], named(s, i))), "\n")
-    options = F.regexp_replace(F.regexp_extract("_block", PLAYER, 1), r"\|mode=[^|]*", "")
-    head = F.concat(F.lit("{{Player"), F.when(F.size("_urls") > 1, F.lit("|mode=mirrors")).otherwise(""), options)
-    text = F.concat(head, F.lit("\n"), body, F.lit("\n}}"))
-    return (out.withColumn("player", text)
-            .withColumn("wikitext", F.when(F.col("_block") != "", F.replace("wikitext", F.col("_block"), text)).otherwise(F.col("wikitext")))
-            .select("page_id", "player", "wikitext"))
+    title = F.col("title") if "title" in new_urls.columns else F.lit(None).cast("string")
+    # by address, those with a title behind the others
+    entry = F.struct(title.isNotNull().alias("part"), F.col("url").alias("url"), title.alias("title"))
+    added = new_urls.where("url IS NOT NULL").groupBy("page_id").agg(F.array_sort(F.collect_set(entry)).alias("_new"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.join(added, "page_id").select("page_id", "wikitext", "_new").mapInArrow(_player_batches, f"page_id {kind}, player string, wikitext string")
 
 
 def clone_pages(pages: DataFrame, new_titles: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from mixframe.functions import clean, cues, dates, durations, episodes, lines, text, track_text, urls
+from mixframe.functions import clean, cues, dates, durations, episodes, lines, templates, text, track_text, urls
 from mixframe.operators import catalogue, detect, entities, episodes as episode_jobs, fields, links, merge, ordered, uploads as upload_jobs
 from mixframe.plans.stream_queries import run
 from mixframe.sources import html_rows, sinks, tracklists, uploads
@@ -198,7 +198,7 @@ def test_player_blocks_keep_options_and_take_every_address(spark):
     pages = spark.createDataFrame([(1, "x\n{{Player|video=audio\n |https://youtu.be/a|t=One\n}}\ny"), (2, "no block")], "page_id long, wikitext string")
     new = spark.createDataFrame([(1, "https://z.example/1"), (1, "https://b.example/2"), (2, "https://b.example/3?a=1")], "page_id long, url string")
     got = {r.page_id: r for r in catalogue.player_blocks(pages, new).collect()}
-    assert got[1].wikitext == "x\n{{Player|mode=mirrors|video=audio\n |https://youtu.be/a|t=One\n |https://b.example/2\n |https://z.example/1\n}}\ny"
+    assert got[1].wikitext == "x\n{{Player|mode=mirrors|video=audio\n |https://youtu.be/a|t1=One\n |https://b.example/2|t2=Complete\n |https://z.example/1|t3=Complete\n}}\ny"
     assert got[2].player == "{{Player\n |1=https://b.example/3?a=1\n}}" and got[2].wikitext == "no block"
 
 
@@ -372,3 +372,20 @@ def test_tight_dashes_in_comments(spark):
     assert sorted(got) == ["u1", "u2", "u4"]
     assert len(got["u1"]) == 8 and got["u1"][0].endswith("ActA - Song AA Long") and got["u2"][7].endswith("ActH - Song HH Long")
     assert got["u4"][3].endswith("Act - A-Side of 4")
+
+
+def test_player_templates():
+    add = lambda text, *new: templates.with_players(text, list(new))[1]
+    # what is not an address stays, nested braces and links included; foreign templates are not touched
+    assert add("{{Playerbox|1=https://a.example}}", ("https://z.example", None)) == "{{Playerbox|1=https://a.example}}"
+    nested = "A {{Other|{{x|y}}}} {{Player|video=audio|note={{small|a|b}}|mode=mirrors\n |1=https://a.example/?x=1\n |2=https://b.example|t2=Two\n |link=[[File:x|y]]\n}} B }} {{"
+    assert add(nested) == ("A {{Other|{{x|y}}}} {{Player|mode=mirrors|video=audio|note={{small|a|b}}\n |1=https://a.example/?x=1|t1=Complete\n |2=https://b.example|t2=Two\n |link=[[File:x|y]]\n}} B }} {{")
+    # an empty slot, one line, a part with a title
+    assert add("{{Player\n |https://a.example\n |\n}}", ("https://b.example", None)) == "{{Player|mode=mirrors\n |https://a.example\n |https://b.example\n}}"
+    assert add("{{Player|https://a.example}}", ("https://soundcloud.com/x", None)) == "{{Player|mode=mirrors\n |https://soundcloud.com/x\n |https://a.example\n}}"
+    assert add("{{Player|mode=mirrors\n |https://a.example\n}}", ("https://soundcloud.com/2", "Part 2")) == (
+        "{{Player|mode=multi\n |https://a.example|t1=Complete\n |https://soundcloud.com/2|t2=Part 2\n}}")
+    assert add("{{Player\n |https://a.example\n}}", ("https://a.example", None)) == "{{Player\n |https://a.example\n}}"
+    # never closed, empty
+    assert add("{{Player|https://a.example", ("https://b.example", None)) == "{{Player|https://a.example" and add("", ("https://b.example", None)) == ""
+    assert add("{{Note|{{Player}}|a|b}}", ("https://b.example", None)) == "{{Note|{{Player\n |https://b.example\n}}|a|b}}"
