@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mixframe.functions import clean, cues, dates, durations, episodes, lines, templates, text, track_text, urls
-from mixframe.operators import catalogue, detect, entities, episodes as episode_jobs, fields, links, merge, ordered, uploads as upload_jobs
+from mixframe.operators import catalogue, detect, entities, episodes as episode_jobs, fields, links, merge, ordered, titles as title_jobs, uploads as upload_jobs
 from mixframe.plans.stream_queries import run
 from mixframe.sources import html_rows, sinks, tracklists, uploads
 from mixframe.streaming import jobs
@@ -389,3 +389,16 @@ def test_player_templates():
     # never closed, empty
     assert add("{{Player|https://a.example", ("https://b.example", None)) == "{{Player|https://a.example" and add("", ("https://b.example", None)) == ""
     assert add("{{Note|{{Player}}|a|b}}", ("https://b.example", None)) == "{{Note|{{Player\n |https://b.example\n}}|a|b}}"
+
+
+def test_titles_with_several_artists(spark):
+    known = [("Night Show", "podcast", 9), ("Ann Act", "artist", 5), ("Bob Beat", "artist", 4), ("Cee Cee", "artist", 3), ("Dee Dub", "artist", 2), ("The Club", "venue", 8)]
+    entities_ = spark.createDataFrame(known, "title string, type string, mixes long")
+    lookup = entities.lookup_table(entities_, spark.createDataFrame([], "alias string, target string"))
+    titles_ = {1: "Night Show 12 - ann act & DJ Bob Beat - 2024-05-01", 2: "Night Show 13 w/ Someone New, Cee Cee - 2024-05-02", 3: "Ann Act b2b Nobody Else @ The Club 2024-05-03",
+               4: "Night Show - Ann Act - Bob Beat - Cee Cee - Dee Dub - 2024-05-04", 5: "Night Show 14 - Unknown & Stranger - 2024-05-05", 6: "Night Show 15 - Bob Beat (Live) - 2024-05-06", 7: None}
+    df = spark.createDataFrame([(i, t, datetime.date(2024, 6, 1)) for i, t in titles_.items()], "upload_id long, title string, created_at date")
+    got = {r.upload_id: (r.artist, r.entity) for r in title_jobs.suggest_titles(df, lookup).collect()}
+    assert got[1] == ("Ann Act & Bob Beat", "Night Show") and got[2] == ("Someone New & Cee Cee", "Night Show")
+    assert got[3] == ("Ann Act & Nobody Else", "The Club") and got[4] == ("Ann Act", "Night Show")
+    assert got[5] == ("Unknown & Stranger", "Night Show") and got[6][1] == "Night Show" and got[6][0].startswith("Bob Beat") and got[7] == (None, None)
