@@ -160,10 +160,15 @@ c AS (SELECT page_id, url, {HOST} AS host, array_to_string(list_filter(string_sp
     lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z_]+|si|fbclid|gclid|igshid|mc_[ce]id|ref)(=|$)')), '&') AS asked, regexp_replace(string_split(string_split(url, '?')[1], '#')[1], '/+$', '') AS plain FROM pages)
 SELECT page_id, url, host, 'https://' || host || regexp_extract(plain, '^[a-z]+://[^/]+(.*)$', 1) || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS canonical,
   regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '^www[.]', ''), '/$', '') AS url_key,
-  regexp_replace(regexp_replace(url, '/$', ''), '[^/]*$', '') || replace(regexp_extract(regexp_replace(url, '/$', ''), '([^/]*)$', 1), '.', '') || '/' AS undotted FROM c""")
+  regexp_replace(regexp_replace(url, '/$', ''), '[^/]*$', '') || replace(regexp_extract(regexp_replace(url, '/$', ''), '([^/]*)$', 1), '.', '') || '/' AS undotted,
+  CAST(NULL AS VARCHAR) AS video_id, CAST(NULL AS VARCHAR) AS playlist, false AS numeric_form FROM c
+UNION ALL SELECT -1 - page_id, 'https://hearthis.at/' || CAST(page_id AS VARCHAR) || '/', 'hearthis.at', 'https://hearthis.at/' || CAST(page_id AS VARCHAR) || '/',
+  'hearthis.at/' || CAST(page_id AS VARCHAR), 'https://hearthis.at/' || CAST(page_id AS VARCHAR) || '/', NULL, NULL, true FROM pages""")
 def canonical_urls(spark, sf):
-    out = L.canonical_urls(V.read_table(spark, sf, "pages").select("page_id", "url"))
-    return out.select("page_id", "url", "host", "canonical", "url_key", "undotted")
+    """The addresses of all pages, and for each an embedded player's."""
+    pages = V.read_table(spark, sf, "pages")
+    players = pages.select((-1 - F.col("page_id")).alias("page_id"), F.concat(F.lit("https://hearthis.at/"), F.col("page_id").cast("string"), F.lit("/")).alias("url"))
+    return L.canonical_urls(pages.select("page_id", "url").unionByName(players))
 
 
 @query(_views("""SELECT upload_id, 'https://www.youtube.com/watch?v=' || lpad(CAST(upload_id AS VARCHAR), 11, 'x') AS canonical, lpad(CAST(upload_id AS VARCHAR), 11, 'x') AS video_id FROM v_uploads""", "v_uploads"))

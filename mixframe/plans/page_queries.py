@@ -13,6 +13,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import catalogue as S
 from . import fixtures as V
 from .entity_queries import key
+from .entity_queries import LOOKUP
 from .registry import Registry
 
 query = Registry()
@@ -180,8 +181,9 @@ def duplicate_candidates(spark, sf):
 
 
 @query(_views(TITLES + f""",
-ty AS (SELECT title, type, mixes, {key('title')} AS k FROM v_entities WHERE type IS NOT NULL AND title NOT LIKE '%(%'),
-bt AS (SELECT k, min_by(title, -mixes * 1000) AS title, max(mixes) AS mixes FROM ty GROUP BY k),
+{LOOKUP.split("mt AS (")[0]}
+bt AS (SELECT key AS k, first(title ORDER BY CASE match_type WHEN 'exact' THEN 0 WHEN 'redirect' THEN 1 ELSE 2 END, mixes DESC, title) AS title,
+  first(mixes ORDER BY CASE match_type WHEN 'exact' THEN 0 WHEN 'redirect' THEN 1 ELSE 2 END, mixes DESC, title) AS mixes FROM lt WHERE key <> '' GROUP BY key),
 rw AS (SELECT page_id, 0 AS o, 'year' AS kind, year AS category FROM tt UNION ALL SELECT page_id, 1, 'artist', channel FROM tt
   UNION ALL SELECT page_id, 2, 'artist', CASE account % 4 WHEN 0 THEN 'Guest' ELSE 'Friend' END FROM tt WHERE account % 4 < 2
   UNION ALL SELECT page_id, 3, 'bucket', 'Promo Mix' FROM tt WHERE account % 4 <> 2 AND account % 7 = 0
@@ -193,8 +195,7 @@ SELECT page_id AS mix_id, pos, kind, category, bt.k IS NOT NULL AS known, coales
 FROM nm LEFT JOIN bt ON nm.kind IN ('artist', 'entity') AND {key('category')} = bt.k""", "v_uploads", "v_entities"))
 def category_plan(spark, sf):
     mixes = _titles(spark, sf).select(F.col("page_id").alias("mix_id"), "title", F.array(F.lit("House")).alias("styles"), F.lit("none").alias("tl_status"))
-    typed = V.v_entities(spark, sf).where("title NOT LIKE '%(%'")
-    lookup = E.lookup_table(typed, V.v_aliases(spark, sf).where("false"))
+    lookup = E.lookup_table(V.v_entities(spark, sf), V.v_aliases(spark, sf))
     return C.category_plan(mixes, lookup)
 
 
