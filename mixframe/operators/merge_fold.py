@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stage
 from . import cue_jobs
 from .match import match_tracks_exact, match_tracks_fuzzy, stored_norms
 
@@ -180,8 +180,9 @@ def merge_in_order(orig: DataFrame, cand: DataFrame, longest: int | None = None)
     what decides; for lists that do not fit one there is the plan over sets.  A pair without originals gives
     its candidates, one without candidates its originals; pairs without an id are left out.
     """
+    orig = stage(orig, "orig")
     style = cue_jobs.cue_style(orig)
-    cand = cut_lineage(cue_jobs.convert_cues(cand.where(F.col("type") != "track (false)"), style))
+    cand = stage(cue_jobs.convert_cues(cand.where(F.col("type") != "track (false)"), style), "cand")
     cn, on = stored_norms(cand.where(F.col("text") != "?")), stored_norms(orig)
     exact = match_tracks_exact(cn, on)
     named = exact.unionByName(match_tracks_fuzzy(cn, on, exact)).select("pair_id", F.col("cand_pos").alias("pos"), F.col("orig_pos").cast("int").alias("hit"))
