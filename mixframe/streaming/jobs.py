@@ -6,7 +6,9 @@ still need it, and rows later than that are dropped.
 
 from __future__ import annotations
 
+import itertools
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,32 +50,47 @@ def stream_bursts(stream: DataFrame, gap: str, delay: str, key: str) -> DataFram
         key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
+#: Most rows of a piece of waiting rows.
+PIECE = 1_024
+
+
 class _Waiting:
-    """Rows of a key that wait for their time, in map state by time.
+    """Rows of a key that wait for their time, in map state in pieces of up to ``PIECE`` rows.
 
-    Every input batch adds a part of its own to each time it has rows for, and a time is opened once, when it
-    is due: neither reads what waits for other times, so the cost grows with the rows and not with the list.
+    A row is a list that begins with the time in ms at which it is due.  The rows of an input batch become pieces in the
+    order of their times, each named by its earliest time, with a timer there.  A timer opens all pieces with a row due, and
+    what is left of them goes back in pieces of doubling size: a call of the store serves many rows where many come at
+    once, no row is written again more than a few times, and a piece without a due row is not read.
     """
 
     def __init__(self, handle: StatefulProcessorHandle):
-        self.parts = handle.getMapState("parts", "due BIGINT", "n BIGINT")
-        self.rows = handle.getMapState("rows", "due BIGINT, part BIGINT", "rows STRING")
-
-    def add(self, due: int, rows: list) -> None:
-        part = self.parts.getValue((due,))[0] if self.parts.containsKey((due,)) else 0
-        self.rows.updateValue((due, part), (json.dumps(rows),))
-        self.parts.updateValue((due,), (part + 1,))
-
-    def take(self, due: int) -> list:
-        """What waits for one time, which is forgotten."""
-        if not self.parts.containsKey((due,)):
-            return []
+        self.handle = handle
+        self.pieces = handle.getMapState("pieces", "due BIGINT, id STRING", "rows STRING")
+
+    def _put(self, rows: list) -> None:
+        self.pieces.updateValue((rows[0][0], uuid.uuid4().hex), (json.dumps(rows),))
+        self.handle.registerTimer(rows[0][0])
+
+    def add(self, rows: list) -> None:
+        rows = sorted(rows, key=lambda r: r[0])
+        for i in range(0, len(rows), PIECE):
+            self._put(rows[i:i + PIECE])
+
+    def take(self, now: int) -> list:
+        """All rows due by ``now``, in the order of their times; they are forgotten."""
         found = []
-        for part in range(self.parts.getValue((due,))[0]):
-            found += json.loads(self.rows.getValue((due, part))[0])
-            self.rows.removeKey((due, part))
-        self.parts.removeKey((due,))
-        return found
+        for piece in [tuple(k) for k in self.pieces.keys()]:
+            if piece[0] > now:
+                continue
+            rows = json.loads(self.pieces.getValue(piece)[0])
+            self.pieces.removeKey(piece)
+            n = next((i for i, r in enumerate(rows) if r[0] > now), len(rows))
+            found += rows[:n]
+            size = 1
+            while n < len(rows):
+                self._put(rows[n:n + size])
+                n, size = n + size, size * 2
+        return sorted(found, key=lambda r: r[0])
 
 
 class _Remembered(StatefulProcessor):
@@ -92,34 +109,33 @@ class _Remembered(StatefulProcessor):
         self.answer = handle.getValueState("answer", "answer STRING, ends BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now, due = timerValues.getCurrentWatermarkInMs(), {}
+        now, mine = timerValues.getCurrentWatermarkInMs(), []
         for pdf in rows:
             at = pdf["ts"].astype("datetime64[us]").astype("int64")
             for t, a in zip(at.tolist(), pdf["answer"]):
                 if t // 1000 >= now:
-                    due.setdefault((t // 1_000_000 + 1) * 1000, []).append((t, None if pd.isna(a) else str(a)))
-        for second, mine in due.items():
-            self.waiting.add(second, mine)
-            self.handle.registerTimer(second)
+                    mine.append(((t // 1_000_000 + 1) * 1000, t, None if pd.isna(a) else str(a)))
+        self.waiting.add(mine)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
+        # the last whole second that the watermark has passed: no request before it comes or waits any more
+        passed = timerValues.getCurrentWatermarkInMs() // 1000 * 1000
         # equal times: known answers before missing ones, then by text
-        waiting = sorted(self.waiting.take(due), key=lambda r: (r[0], r[1] is None, r[1] or ""))
+        waiting = sorted(self.waiting.take(passed), key=lambda r: (r[1], r[2] is None, r[2] or ""))
         answer, ends = self.answer.get() if self.answer.exists() else (None, -1)
         out, asked = [], False
-        for at, found in waiting:
+        for _, at, found in waiting:
             if at >= ends:
                 answer, ends, asked = found, at + (self.missed if found is None else self.kept) * 1_000_000, True
                 out.append((at, "ask", answer))
             else:
                 out.append((at, "hit", answer))
-        if ends <= due * 1000:
+        if ends <= passed * 1000:
             self.answer.clear()
         elif asked:
             self.answer.update((answer, ends))
-            self.handle.registerTimer(-(-ends // 1000))
+            self.handle.registerTimer(-(-ends // 1_000_000) * 1000)
         if out:
             yield pd.DataFrame({"key": [key[0]] * len(out), "ts": pd.to_datetime([r[0] for r in out], unit="us"),
                                 "kind": [r[1] for r in out], "answer": pd.Series([r[2] for r in out], dtype="object")})
@@ -154,26 +170,31 @@ class _Newest(StatefulProcessor):
         for pdf in rows:
             for e, s, g, v in zip(pdf["ended"], pdf["started"], pdf["generation"], pdf["value"]):
                 if e // 1000 > now:
-                    due.setdefault(-(-int(e) // 1000), []).append((int(s), int(g), None if pd.isna(v) else str(v)))
-        for ended, mine in due.items():
-            top = max(g for _, g, _ in mine)  # what a batch itself supersedes need not wait
-            self.waiting.add(ended, [r for r in mine if r[1] == top])
-            self.handle.registerTimer(ended)
+                    ended = -(-int(e) // 1000)
+                    due.setdefault(ended, []).append((ended, int(s), int(g), None if pd.isna(v) else str(v)))
+        mine = []
+        for window in due.values():
+            top = max(r[2] for r in window)  # what a batch itself supersedes need not wait
+            mine += [r for r in window if r[2] == top]
+        self.waiting.add(mine)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        closed = self.waiting.take(due)
+        now = timerValues.getCurrentWatermarkInMs()
         newest, ends = self.newest.get() if self.newest.exists() else (NO_GENERATION, -1)
-        if closed:
+        out = []
+        closed = self.waiting.take(now)
+        for due, rows in itertools.groupby(closed, key=lambda r: r[0]):
+            window = list(rows)
             if ends <= due:
                 newest = NO_GENERATION
-            newest, ends = max(newest, max(r[1] for r in closed)), due + self.memory * 1000
+            newest, ends = max(newest, max(r[2] for r in window)), due + self.memory * 1000
+            out += sorted((r[1:] for r in window if r[2] == newest), key=lambda r: (r[2] is None, r[2] or ""))
+        if ends <= now:
+            self.newest.clear()
+        elif closed:
             self.newest.update((newest, ends))
             self.handle.registerTimer(ends)
-        elif ends <= due:
-            self.newest.clear()
-        out = sorted((r for r in closed if r[1] == newest), key=lambda r: (r[2] is None, r[2] or ""))
         if out:
             yield pd.DataFrame({"key": pd.Series([key[0]] * len(out), dtype="object"), "started": pd.to_datetime([r[0] for r in out], unit="us"),
                                 "generation": [r[1] for r in out], "value": pd.Series([r[2] for r in out], dtype="object")})
