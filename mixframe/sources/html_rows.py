@@ -10,11 +10,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
-from ..operators import ordered as O
 
 # Blocks this short are no tracklist; tables shorter than MIN_TABLE never are.
 SHORT_BLOCK = 8
@@ -117,14 +116,16 @@ def _ordered_columns(rows: DataFrame) -> DataFrame:
     The rows of a block vote: a version in brackets marks a title.  Without a majority the column that
     repeats itself more is the artist, as one act plays several times; else the left one is.
     """
-    block = ["page_id", "block"]
+    block = Window.partitionBy("page_id", "block")
     version = lambda c: F.coalesce(F.col(c).rlike(VERSION), F.lit(False)).cast("int")
-    votes = rows.groupBy(*block).agg(F.sum(version("left") - version("right")).alias("marked"),
-                                     (F.count_distinct("left") - F.count_distinct("right")).alias("varied"))
-    votes = votes.select(*block, ((F.col("marked") > 0) | ((F.col("marked") == 0) & (F.col("varied") > 0))).alias("swapped"))
-    rows = rows.join(votes, block)
+    for c in ("left", "right"):  # numbered in the order of their texts, the last number is how many there are
+        rows = rows.withColumn(f"_{c}", F.when(F.col(c).isNotNull(), F.dense_rank().over(block.orderBy(F.col(c).asc_nulls_last()))))
+    rows = rows.select("*", F.sum(version("left") - version("right")).over(block).alias("marked"),
+                       (F.coalesce(F.max("_left").over(block), F.lit(0)) - F.coalesce(F.max("_right").over(block), F.lit(0))).alias("varied"))
+    rows = rows.withColumn("swapped", (F.col("marked") > 0) | ((F.col("marked") == 0) & (F.col("varied") > 0)))
     first, second = F.when(F.col("swapped"), F.col("right")).otherwise(F.col("left")), F.when(F.col("swapped"), F.col("left")).otherwise(F.col("right"))
-    return rows.withColumns({"artist": F.coalesce("artist", first), "title": F.coalesce("title", second)}).drop("left", "right", "swapped")
+    return rows.withColumns({"artist": F.coalesce("artist", first), "title": F.coalesce("title", second)}).drop(
+        "left", "right", "_left", "_right", "marked", "varied", "swapped")
 
 
 def scan_html_rows(pages: DataFrame, site_spec: DataFrame) -> DataFrame:
@@ -134,25 +135,26 @@ def scan_html_rows(pages: DataFrame, site_spec: DataFrame) -> DataFrame:
     or, where that is NULL, by its number; ``host`` '*' is for every page.  The roles ``left`` and ``right``
     are artist and title in an order that differs from block to block: each block decides by its own rows.
     """
-    cells = html_cells(pages)
-    # the rules of each host and kind first: one short list, joined on both
-    hosts = pages.select(_host()).distinct()
-    own = site_spec.where("host != '*'").join(hosts, F.col("host") == F.col("_host"))
-    common = hosts.join(site_spec.where("host = '*'").agg(F.collect_list(F.struct("kind", "role", "class_pattern", "cell")).alias("_all")))
-    rules = own.select("_host", "kind", "role", "class_pattern", "cell").unionByName(common.select("_host", F.inline("_all")))
-    rules = rules.groupBy("_host", "kind").agg(F.collect_list(F.struct("role", "class_pattern", F.col("cell").alias("at"))).alias("_rules"))
-    hit = cells.join(rules, ["_host", "kind"]).select("*", F.inline("_rules")).drop("_rules")
+    # site rules are written by hand, a few for each site and kind, so they go to the cells; a block is part of one
+    # page, so all that follows needs the one exchange that brings the cells of a block together
+    listed = F.collect_list(F.struct("role", "class_pattern", F.col("cell").alias("at")))
+    own = site_spec.where("host != '*'").groupBy(F.col("host").alias("_host"), "kind").agg(listed.alias("_own"))
+    common = site_spec.where("host = '*'").groupBy("kind").agg(listed.alias("_common"))
+    hit = html_cells(pages).join(F.broadcast(common), "kind", "left").join(F.broadcast(own), ["_host", "kind"], "left")
+    rules = F.when(F.col("_own").isNull(), F.col("_common")).when(F.col("_common").isNull(), F.col("_own")).otherwise(F.concat("_own", "_common"))
+    hit = hit.select("page_id", "block", "kind", "row", "cell", "class", "text", F.inline(rules))
     hit = hit.where(F.when(F.col("class_pattern").isNotNull(), F.expr("class rlike class_pattern")).otherwise(F.col("cell") == F.col("at")))
+    hit = hit.select("page_id", "block", "kind", "row", "cell", "text", "role").repartition("page_id", "block")
     value = squeeze(F.translate("text", " ", " "))
     pick = lambda r: F.min_by(value, F.when(F.col("role") == r, F.col("cell")))
     rows = hit.groupBy("page_id", "block", "kind", "row").agg(*[pick(r).alias(r) for r in ("cue", "artist", "title", "label", "left", "right")])
     rows = _ordered_columns(rows)
     rows = rows.where(F.coalesce("artist", "title").isNotNull())
-    sizes = rows.groupBy("page_id", "block").agg(F.count(F.lit(1)).alias("n_rows"))
-    rows = rows.join(sizes, ["page_id", "block"]).where(F.col("n_rows") > SHORT_BLOCK)
+    block = Window.partitionBy("page_id", "block")
+    rows = rows.withColumn("n_rows", F.count(F.lit(1)).over(block)).where(F.col("n_rows") > SHORT_BLOCK)
     rows = rows.where((F.col("kind") != "table") | (F.col("n_rows") >= MIN_TABLE))
     missing = F.when(F.col("kind") == "table", F.lit("?"))
     rows = rows.withColumn("artist", F.coalesce("artist", missing)).withColumn("title", F.coalesce("title", missing))
     rows = rows.withColumn("artist", F.regexp_replace("artist", r"(?i)^(.+) \(.+(?:mix|remix|version|edit|femix).*\)$", "$1"))
-    rows = O.dense_pos(rows, ["page_id", "block"], ["row"], None)
+    rows = rows.withColumn("pos", F.row_number().over(block.orderBy("row")))
     return rows.select("page_id", "block", "pos", "cue", "artist", "title", "label", F.concat_ws(" - ", "artist", "title").alias("text"))

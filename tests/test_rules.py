@@ -402,3 +402,15 @@ def test_titles_with_several_artists(spark):
     assert got[1] == ("Ann Act & Bob Beat", "Night Show") and got[2] == ("Someone New & Cee Cee", "Night Show")
     assert got[3] == ("Ann Act & Nobody Else", "The Club") and got[4] == ("Ann Act", "Night Show")
     assert got[5] == ("Unknown & Stranger", "Night Show") and got[6][1] == "Night Show" and got[6][0].startswith("Bob Beat") and got[7] == (None, None)
+
+
+def test_crawled_cells_are_parsed_and_exchanged_once(spark):
+    """No step behind the cells reads the pages again or brings the cells of a block together twice."""
+    html = "<table>" + "".join(f"<tr><td>Act {i % 3}</td><td>Tune {i}</td></tr>" for i in range(9)) + "</table>"
+    pages = spark.createDataFrame([(1, "https://a.example/1", html), (2, None, html)], "page_id long, url string, html string")
+    spec = spark.createDataFrame([("*", "table", "left", None, 0), ("*", "table", "right", None, 1), ("b.example", "table", "label", "x", None)],
+                                 "host string, kind string, role string, class_pattern string, cell int")
+    out = html_rows.scan_html_rows(pages, spec)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("MapInPandas") == 1 and plan.count("Exchange hashpartitioning(page_id") == 1
+    assert sorted((r.page_id, r.pos, r.text) for r in out.collect()) == [(p, i + 1, f"Act {i % 3} - Tune {i}") for p in (1, 2) for i in range(9)]
