@@ -69,15 +69,22 @@ def _readings(name: str, match: Column, pattern: str, this_year: Column) -> list
 
 
 def _candidate(name, order, ymd, match, reference, this_year) -> Column:
-    year, month, day = ymd
-    iso = F.concat(pad_left(year, 4), F.lit("-"), pad_left(month, 2), F.lit("-"), pad_left(day, 2))
-    date = F.try_to_date(iso, "yyyy-MM-dd")
-    ok = date.isNotNull() & year.between(F.lit(FIRST_YEAR), this_year + 1)
-    out = F.substring(iso, 1, 7) if name == "monthYearGroup" else iso
-    diff = F.datediff(date, reference)
-    score = F.coalesce(F.abs(diff) + F.when(diff > 0, 0.5).otherwise(0.0), F.lit(0.0)) + F.lit(order * 0.001)
-    return F.when(ok, F.struct(score.cast("double").alias("score"), out.alias("out"), iso.alias("iso"),
-                               F.lit(name).alias("pattern"), match.alias("matched")))
+    # each step is bound once: inside a function over arrays nothing is shared by itself
+    def written(d):
+        return F.concat(pad_left(d["y"], 4), F.lit("-"), pad_left(d["m"], 2), F.lit("-"), pad_left(d["d"], 2))
+
+    def dated(r):
+        out = F.substring(r["iso"], 1, 7) if name == "monthYearGroup" else r["iso"]
+        return let(F.datediff(r["date"], reference), lambda diff: F.struct(
+            (F.coalesce(F.abs(diff) + F.when(diff > 0, 0.5).otherwise(0.0), F.lit(0.0)) + F.lit(order * 0.001)).cast("double").alias("score"),
+            out.alias("out"), r["iso"].alias("iso"), F.lit(name).alias("pattern"), match.alias("matched")))
+
+    def read(d):
+        valid = d["y"].between(F.lit(FIRST_YEAR), this_year + 1)
+        return F.when(valid, let(let(written(d), lambda iso: F.struct(iso.alias("iso"), F.try_to_date(iso, "yyyy-MM-dd").alias("date"))),
+                                 lambda r: F.when(r["date"].isNotNull(), dated(r))))
+
+    return let(F.struct(*[c.alias(k) for k, c in zip("ymd", ymd)]), read)
 
 
 def find_date(text, reference, this_year: Column | None = None) -> Column:
@@ -96,19 +103,15 @@ def find_date(text, reference, this_year: Column | None = None) -> Column:
             return F.filter(cands, lambda c: c.isNotNull())
 
         groups = F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), per_match)
-        return let(groups, _best)
-
-    def _best(groups):
-        every = F.flatten(groups)
-
-        def finish(best):
-            others = F.filter(every, lambda c: c["out"] != best["out"])
-            own = F.filter(groups, lambda g: F.array_contains(F.transform(g, lambda c: c["out"]), best["out"])
-                           & F.array_contains(F.transform(g, lambda c: c["matched"]), best["matched"]))
-            return F.struct(*[best[f].alias(f) for f in ("score", "out", "iso", "pattern", "matched")],
-                            F.size(F.array_distinct(F.transform(own[0], lambda c: c["out"]))).alias("readings"),
-                            F.array_min(others)["score"].alias("runner_up"))
-
-        return F.when(F.size(every) > 0, let(F.array_min(every), finish))
+        return let(groups, lambda g: let(F.flatten(g), lambda every: F.when(
+            F.size(every) > 0, let(F.array_min(every), lambda best: finish(g, every, best)))))
+
+    def finish(groups, every, best):
+        others = F.filter(every, lambda c: c["out"] != best["out"])
+        own = F.filter(groups, lambda g: F.array_contains(F.transform(g, lambda c: c["out"]), best["out"])
+                       & F.array_contains(F.transform(g, lambda c: c["matched"]), best["matched"]))
+        return F.struct(*[best[f].alias(f) for f in ("score", "out", "iso", "pattern", "matched")],
+                        F.size(F.array_distinct(F.transform(own[0], lambda c: c["out"]))).alias("readings"),
+                        F.array_min(others)["score"].alias("runner_up"))
 
     return F.coalesce(*[scan(n, p) for n, p in PATTERNS])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, vocab
 from ..functions.dates import SEPARATORS
 from ..functions.text import name_key, squeeze
+from ..session import stage
 from .entities import confidence_band
 from .uploads import date_candidates, episodes_from_titles, title_without_date
 
@@ -70,10 +71,12 @@ def suggest_titles(uploads: DataFrame, lookup: DataFrame, places: DataFrame | No
     ``lookup`` as entities.lookup_table gives it.  A title without date or artist gets none.
     """
     base = date_candidates(uploads.withColumn("title", clean.upload_title("title")))
-    base = episodes_from_titles(base, F.lit(True))
+    # read three times below: the parts, the names asked again and the result
+    base = stage(episodes_from_titles(base, F.lit(True)), "dated-titles")
     chunks = title_chunks(base, places)
     order = F.struct(F.when(F.col("match_type") == "exact", 0).when(F.col("match_type") == "redirect", 1).otherwise(2), -F.col("mixes"), F.col("title"))
     best = lookup.groupBy("key").agg(F.min_by(F.struct("title", "type", "mixes", "match_type"), order).alias("m"))
+    best = stage(best, "best-names")
     named = chunks.withColumn("key", name_key("name")).join(best, "key", "left")
     kind = F.col("m.type")
     role = (F.when(kind.isin(*vocab.SERIES_TYPES), "series").when(kind.isin(*vocab.PLACE_TYPES), "place")

@@ -68,7 +68,7 @@ SELECT upload_id, best.iso || ' - ' || channel || ' - ' || entity ||
   channel AS artist, entity FROM v_uploads JOIN best USING (upload_id) WHERE r = 1""", "v_uploads"))
 def suggest_titles(spark, sf):
     uploads = V.v_uploads(spark, sf)
-    lookup = E.lookup_table(V.v_entities(spark, sf), V.v_aliases(spark, sf))
+    lookup = E.best_lookup(V.v_entities(spark, sf), V.v_aliases(spark, sf))
     out = T.suggest_titles(uploads.select("upload_id", "title", "created_at"), lookup)
     return out.select("upload_id", "suggested", "artist", "entity")
 

@@ -414,3 +414,12 @@ def test_crawled_cells_are_parsed_and_exchanged_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("MapInPandas") == 1 and plan.count("Exchange hashpartitioning(page_id") == 1
     assert sorted((r.page_id, r.pos, r.text) for r in out.collect()) == [(p, i + 1, f"Act {i % 3} - Tune {i}") for p in (1, 2) for i in range(9)]
+
+
+def test_equal_names_do_not_meet_in_all_pairs(spark):
+    """Forty rows of one title and forty of its alias are one answer each, that with most mixes."""
+    rows = [("Act", "artist", i) for i in range(40)] + [("Hall (Club)", "venue", 3), ("Hall (Club)", "venue", 9), ("Act", None, 99)]
+    every = spark.createDataFrame(rows, "title string, type string, mixes int")
+    aliases = spark.createDataFrame([("Äct 2", "Act")] * 40, "alias string, target string")
+    got = sorted((r.key, r.title, r.mixes, r.match_type) for r in entities.best_lookup(every, aliases).collect())
+    assert got == [("act", "Act", 39, "exact"), ("act2", "Act", 39, "redirect"), ("hall", "Hall (Club)", 9, "qualified"), ("hallclub", "Hall (Club)", 9, "exact")]
