@@ -423,3 +423,21 @@ def test_equal_names_do_not_meet_in_all_pairs(spark):
     aliases = spark.createDataFrame([("Äct 2", "Act")] * 40, "alias string, target string")
     got = sorted((r.key, r.title, r.mixes, r.match_type) for r in entities.best_lookup(every, aliases).collect())
     assert got == [("act", "Act", 39, "exact"), ("act2", "Act", 39, "redirect"), ("hall", "Hall (Club)", 9, "qualified"), ("hallclub", "Hall (Club)", 9, "exact")]
+
+
+def test_texts_and_comments_are_read_once(spark):
+    """Each text and comment is made a single time, however many passes look at it."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    seen = F.udf(counted, "string").asNondeterministic()
+    listed = "\n".join(f"{i}. Act {i} - Tune {i}" for i in range(1, 9))
+    docs = spark.createDataFrame([(1, listed), (2, "prose\r\nonly\rhere"), (3, None)], "doc_id long, text string")
+    notes = spark.createDataFrame([(2, 0, listed.replace("\n", " ")), (3, 0, "nice")], "player_url long, comment_no long, body string")
+    found = detect.detect_tracklists(docs.withColumn("text", seen("text")), notes.withColumn("body", seen("body")))
+    assert sorted((r.doc_id, r.source) for r in found.select("doc_id", "source").distinct().collect()) == [(1, "text"), (2, "comment")]
+    assert read.value == 5
+    assert detect.most_lines(docs) >= detect.text_lines(docs).agg(F.max("line_no")).head()[0] + 1
