@@ -441,3 +441,17 @@ def test_texts_and_comments_are_read_once(spark):
     assert sorted((r.doc_id, r.source) for r in found.select("doc_id", "source").distinct().collect()) == [(1, "text"), (2, "comment")]
     assert read.value == 5
     assert detect.most_lines(docs) >= detect.text_lines(docs).agg(F.max("line_no")).head()[0] + 1
+
+
+def test_cued_comments_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    bodies = [" ".join(f"({i:02d}) Act {i} - Tune {i}" for i in range(7)), "no cue", None]
+    notes = spark.createDataFrame([(1, i, b) for i, b in enumerate(bodies)], "player_url long, comment_no long, body string")
+    got = detect.split_cued_comments(notes.withColumn("body", F.udf(counted, "string").asNondeterministic()("body"))).collect()
+    assert sorted((r.comment_no, r.line_no, r.raw) for r in got) == [(0, i + 1, f"[{i:02d}] Act {i} - Tune {i}") for i in range(7)]
+    assert read.value == 3
