@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cue_jobs as C
+from ..operators import ordered as O
 from . import fixtures as V
 from .registry import Registry
 
@@ -91,7 +92,8 @@ SELECT tl_id, pos, cue, CASE WHEN cue IS NULL THEN NULL
   WHEN regexp_full_match(cue, '0[?][?]') AND hint IS NOT NULL THEN CAST(hint AS VARCHAR) || ':??'
   WHEN kind = 'HMS' AND length(cue) = 8 THEN cue ELSE {TOGGLED} END AS alt_cue FROM h4""".replace("CAST(cue[1] AS INT)", "TRY_CAST(cue[1] AS INT)")))
 def infer_hours(spark, sf):
-    out = C.infer_hours(V.v_tracks(spark, sf), V.longest_mix(spark, sf))
+    tracks = O.deal(V.v_tracks(spark, sf).select("tl_id", "pos", "cue"), "tl_id", V.all_lines(spark, sf))
+    out = C.infer_hours(tracks, V.longest_mix(spark, sf))
     return out.select("tl_id", "pos", "cue", "alt_cue")
 
 
