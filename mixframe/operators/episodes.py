@@ -57,5 +57,6 @@ def attach_players(missing: DataFrame, episodes: DataFrame, priorities: DataFram
 
 def order_episode_keys(episodes: DataFrame, column: str = "episode_key") -> DataFrame:
     """Numeric keys first, rising, then text without regard to case."""
-    number = F.col(column).try_cast("bigint")
-    return episodes.orderBy(number.asc_nulls_last(), F.lower(column), column)
+    # columns, as a sort evaluates its expressions anew in every comparison
+    keyed = episodes.select("*", F.col(column).try_cast("bigint").alias("_number"), F.lower(column).alias("_lower"))
+    return keyed.orderBy(F.col("_number").asc_nulls_last(), "_lower", column).drop("_number", "_lower")
