@@ -1,6 +1,6 @@
 """Costly expressions stand once in the plan."""
 
-from mixframe.operators import episodes
+from mixframe.operators import detect, episodes
 
 
 def plan(df):
@@ -13,3 +13,11 @@ def test_episode_sort_compares_columns(spark):
     assert "lower(" not in sort and "cast(" not in sort
     assert df.columns == ["episode_key"]
     assert [r.episode_key for r in df.collect()] == ["9", "10", None, "A", "b"]
+
+
+def test_numbered_marks_are_folded_once(spark):
+    df = spark.createDataFrame([("u", 1, "intro 1. A - B 2. C - D"), ("u", 2, "1. only"), ("u", 3, None)], "player_url string, comment_no long, body string")
+    stored = df.repartition(2)  # a local table would be folded while it is planned
+    out = detect.split_numbered_comments(stored)
+    assert plan(out).count("regexp_extract_all(") == 1
+    assert sorted((r.comment_no, r.line_no, r.raw) for r in out.collect()) == [(1, 1, "1. A - B"), (1, 2, "2. C - D")]
