@@ -21,3 +21,9 @@ def test_numbered_marks_are_folded_once(spark):
     out = detect.split_numbered_comments(stored)
     assert plan(out).count("regexp_extract_all(") == 1
     assert sorted((r.comment_no, r.line_no, r.raw) for r in out.collect()) == [(1, 1, "1. A - B"), (1, 2, "2. C - D")]
+
+
+def test_norms_are_built_once_for_the_anchors(spark):
+    import __spark_entry__ as entry
+    out = entry.queries()["fill_unknown_between_anchors"](spark, "/root/testdata/sf0.001")
+    assert "posexplode" not in plan(out)  # the matches are read, not made again
