@@ -27,3 +27,9 @@ def test_norms_are_built_once_for_the_anchors(spark):
     import __spark_entry__ as entry
     out = entry.queries()["fill_unknown_between_anchors"](spark, "/root/testdata/sf0.001")
     assert "posexplode" not in plan(out)  # the matches are read, not made again
+
+
+def test_parts_of_chapters_are_stored_lines(spark):
+    import __spark_entry__ as entry
+    out = entry.queries()["chapters"](spark, "/root/testdata/sf0.001")
+    assert "LogicalRDD" not in plan(out) and "parquet" in plan(out)
