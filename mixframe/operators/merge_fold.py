@@ -184,12 +184,15 @@ def merge_in_order(orig: DataFrame, cand: DataFrame, longest: int | None = None)
     style = cue_jobs.cue_style(orig)
     cand = stage(cue_jobs.convert_cues(cand.where(F.col("type") != "track (false)"), style), "cand")
     cn, on = stored_norms(cand.where(F.col("text") != "?")), stored_norms(orig)
-    exact = match_tracks_exact(cn, on)
+    # written, so that they are made once and the shuffle files behind them go before the fold writes its own
+    exact = stage(match_tracks_exact(cn, on), "exact")
     named = exact.unionByName(match_tracks_fuzzy(cn, on, exact)).select("pair_id", F.col("cand_pos").alias("pos"), F.col("orig_pos").cast("int").alias("hit"))
+    named = stage(named, "named")
     fields = [*FIELDS[:-1], F.col("dur").cast("int").alias("dur")]
     ours = orig.select("pair_id", F.lit(0).alias("side"), F.col("pos").cast("int").alias("pos"), *fields, F.lit(None).cast("int").alias("hit"))
     theirs = cand.join(named, ["pair_id", "pos"], "left").select("pair_id", F.lit(1).alias("side"), F.col("pos").cast("int").alias("pos"), *fields, "hit")
     both = ours.unionByName(theirs).where(F.col("pair_id").isNotNull()).repartition("pair_id").sortWithinPartitions("pair_id", "side", "pos")
     out = both.mapInArrow(_fold_batches, SCHEMA.format(key=orig.schema["pair_id"].dataType.simpleString()))
-    out = cue_jobs.explicit_cues(cue_jobs.convert_cues(out, style), style)
+    # the check of the longest list would fold all pairs once more
+    out = stage(cue_jobs.explicit_cues(cue_jobs.convert_cues(out, style), style), "merged")
     return cue_jobs.fill_cue_prefix(out, "pair_id", None if longest is None else 2 * longest).select("pair_id", "pos", *FIELDS)
